@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, sharding, shared, topk
+from quillon.llm import chat, packing, sharding, shared, simhash, topk
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 CONTROL_CASE = "<|im_end|><|im_start|>assistant ok"
 
@@ -67,8 +73,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens of the public byte-level vocabulary of 50k."""
+    return packing.packed(shared.table(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer(), 2048)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at two differing bits or fewer."""
+    out = simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), radius=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op7_best_fit_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
