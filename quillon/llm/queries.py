@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, packing, sharding, shared, simhash, topk
+from quillon.llm import chat, fingerprint, packing, sharding, shared, simhash, topk
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -73,6 +73,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one."""
+    return fingerprint.fingerprinted(shared.table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """All documents in sequences of at most 2048 tokens of the public byte-level vocabulary of 50k."""
     return packing.packed(shared.table(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer(), 2048)
@@ -85,7 +90,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op7_best_fit_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op5_fingerprints, op7_best_fit_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

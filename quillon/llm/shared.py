@@ -186,3 +186,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .collect()
     )
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], float)
+
+
+# --- ranges of ids --------------------------------------------------------------------------
+
+
+def long_sql(x: int) -> str:
+    """A long as SQL; the least one can't be written as a literal."""
+    return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
+
+
+def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
+    """At most n - 1 sorted values that cut the key into about equally many rows; from the key column alone."""
+    cuts = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    return sorted({int(c) for c in cuts or []})
+
+
+def range_of(key: str, bounds: list[int]) -> Column:
+    """The number of bounds at or below the key, counted in two levels so that a row meets about 2 sqrt(n) of them."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    fine = f"array({','.join(map(long_sql, bounds))})"
+    coarse = f"array({','.join(map(long_sql, bounds[step - 1 :: step]))})"
+    below = f"size(filter({coarse}, x -> x <= {key})) * {step}"
+    return F.expr(f"{below} + size(filter(slice({fine}, {below} + 1, {step}), x -> x <= {key}))").cast("int")
