@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, fingerprint, packing, sharding, shared, simhash, topk
+from quillon.llm import chat, fingerprint, packing, quality, sharding, shared, simhash, topk, toxicity
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -78,11 +78,23 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprinted(shared.table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; 1 is good."""
+    out = quality.quality(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """All documents in sequences of at most 2048 tokens of the public byte-level vocabulary of 50k."""
     return packing.packed(shared.table(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer(), 2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; 1 is toxic."""
+    out = toxicity.toxicity(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.REJECT).cast("int"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at two differing bits or fewer."""
     out = simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), radius=2)
@@ -90,7 +102,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op5_fingerprints, op7_best_fit_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op5_fingerprints, op6_quality, op7_best_fit_packing, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
