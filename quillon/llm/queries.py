@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, fingerprint, packing, quality, sharding, shared, simhash, topk, toxicity
+from quillon.llm import chat, fingerprint, packing, quality, sharding, shared, simhash, substring, topk, toxicity
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -95,6 +95,34 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.REJECT).cast("int"))
 
 
+def _kept_digests(batches):
+    import hashlib
+
+    for b in batches:
+        b["kept_sha256"] = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in b["kept"]]
+        yield b[["doc_id", "n_words", "n_removed", "kept_sha256"]].astype({"doc_id": "Int64"})
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 13 that also start in a document with a smaller id."""
+    out = substring.without_repeats(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", "kept").mapInPandas(_kept_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM m WHERE first < doc_id)),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (
+  SELECT u.doc_id, count(*) AS n_words, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN word END, ' ' ORDER BY u.i) AS kept
+  FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.i = u.i GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at two differing bits or fewer."""
     out = simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), radius=2)
@@ -102,8 +130,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op5_fingerprints, op6_quality, op7_best_fit_packing, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op5_fingerprints, op6_quality, op7_best_fit_packing, op8_toxicity, op9_substring_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_exact_topk": OP2_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_exact_topk": OP2_SQL, "op9_substring_dedup": OP9_SQL}
