@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, fingerprint, packing, quality, sharding, shared, simhash, substring, topk, toxicity
+from quillon.llm import chat, fingerprint, mixing, packing, quality, sharding, shared, simhash, substring, topk, toxicity
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -73,6 +73,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and draw of every document, with tempered shares of source, language and topic as targets."""
+    return mixing.mixed(shared.table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edit with the next one."""
     return fingerprint.fingerprinted(shared.table(spark, sf_dir, "documents"))
@@ -110,7 +115,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 m AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
 c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM m WHERE first < doc_id)),
@@ -130,7 +136,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op5_fingerprints, op6_quality, op7_best_fit_packing, op8_toxicity, op9_substring_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op3_sharding, op4_mixing, op5_fingerprints, op6_quality, op7_best_fit_packing, op8_toxicity, op9_substring_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

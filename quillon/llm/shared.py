@@ -9,8 +9,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch of documents: bounds what a Python worker holds when texts are long.
 ARROW_ROWS = 256
@@ -58,6 +59,20 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def chosen_rows(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of docs whose doc_id and xxhash64 of the text are those of a row of keys (doc_id, text_hash); with once, of
+    rows that agree in both only the smallest. Null ids match null ids."""
+    no_id = F.lit(-(1 << 63))
+    names = [f"`{c}`" for c in docs.columns]
+    left = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), no_id), "__hash": F.xxhash64(docs["text"].cast("string"))})
+    right = keys.select(F.coalesce(F.col("doc_id"), no_id).alias("__id"), F.col("text_hash").alias("__hash"))
+    out = left.join(right, ["__id", "__hash"], "left_semi")
+    if once:
+        order = Window.partitionBy("__id", "__hash").orderBy(*(F.col(n) for n, f in zip(names, docs.schema, strict=True) if isinstance(f.dataType, T.AtomicType)))
+        out = out.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return out.select(*names)
+
+
 def id_hash(col: str) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

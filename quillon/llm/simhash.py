@@ -66,13 +66,15 @@ def majority(hashes: np.ndarray) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bits = np.array([majority(shingle_hashes(t)) for t in b.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(bits.view(np.int64))], names=["doc_id", "text_hash", "bits"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, xxhash64 of the text, and the fingerprint as a signed long."""
     shared.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, bits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _fingerprints, "doc_id long, text_hash long, bits long"
+    )
 
 
 # --- partitions and thresholds --------------------------------------------------------------
@@ -279,11 +281,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, bits and component_id for each document; component_id: the smallest doc_id that links lead to."""
+    """doc_id, text_hash, bits, root and component_id for each document. root: the same for all of a component;
+    component_id: the smallest doc_id that links lead to."""
     marked = shared.written(fingerprints(docs), "fingerprints")
     distinct = shared.written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "fingerprints-distinct")
     roots = components(links(distinct, radius)).withColumnRenamed("node", "bits")
     rooted = distinct.join(roots, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("bits", "component_id")
-    return marked.join(classes, "bits").select("doc_id", "bits", "component_id")
+    return marked.join(rooted.join(smallest, "root").select("bits", "root", "component_id"), "bits")
+
+
+def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One row of docs for each component: that of the smallest doc_id (null last), then of the smallest hash of the text."""
+    found = near_duplicates(docs, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    return shared.chosen_rows(docs, shared.written(first.select("first.doc_id", "first.text_hash"), "simhash-kept"), once=True)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import shared
 
@@ -274,20 +275,24 @@ def scores(p: dict[str, np.ndarray] | None, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def scored(docs: DataFrame, p: dict[str, np.ndarray] | None) -> DataFrame:
-    """The rows of docs with held_out and score added after doc_id and the text; docs: doc_id, text."""
+def scored(docs: DataFrame, p: dict[str, np.ndarray] | None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out and score of each row; with carry also row, a struct of all columns of docs."""
     shared.small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(p)  # of fixed size
+    shipped = docs.sparkSession.sparkContext.broadcast(p)  # bounded by the training sample
+    names = ["doc_id", "held_out", *["row"] * carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in shared.regrouped(batches, "text", 1 << 20):
             one = chunk.combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("held_out"), pa.array(scores(shipped.value, one.column("text")))], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names), pa.array(scores(shipped.value, one.column("text")))], names=[*names, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(shared.id_hash("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    held_out = F.coalesce(shared.id_hash("doc_id") % 3 == 1, F.lit(False)).alias("held_out")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, *[row] * carry, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*(f for f in rows.schema if f.name in names), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Train on the labelled rows that may be learnt from, and score all documents: doc_id, held_out, score."""
-    return scored(docs, train(*shared.labelled_sample(docs, labels, "toxic", max_rows, max_chars)))
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, carry: bool = False) -> DataFrame:
+    """Train on the labelled rows that may be learnt from, and score all documents: doc_id, held_out, (row,) score."""
+    return scored(docs, train(*shared.labelled_sample(docs, labels, "toxic", max_rows, max_chars)), carry)
