@@ -15,7 +15,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,101 +26,45 @@ from pyspark.sql import functions as F
 from quillon.llm import shared
 
 END = np.zeros(1, "<u4").tobytes()
-#: Words, and words with what follows them, that a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
 #: Groups that pieces of the same length are dealt to.
 SALTS = 64
-#: White space whose cutting would depend on what stands around it.
-_LOOSE = re.compile(r"\s\s|\s$")
-_MARKS = ".,;:!?*&%$#()\"|"
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+#: Where byte-level BPE of this kind cuts texts before it merges bytes; fixed by the vocabulary.
+CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-class WordTokenizer:
-    """Ids of whole texts as little-endian bytes. A byte-level tokenizer that first cuts texts before a space and the
-    word after it gives a text the ids of its words, so each word is tokenised once and remembered. Of a word of letters
-    with marks behind it, the letters and the marks are looked up apart, as the tokenizer cuts there too. Texts with two
-    white-space characters in a row, or one at the end, go to the tokenizer whole."""
+class Ids:
+    """Ids of texts as little-endian bytes. A byte-level BPE vocabulary whose ids are in the order of its merges is handed to the
+    faster of the two libraries that take it, which gives the same ids; any other is used as it is. Strings of special
+    tokens in a text are ordinary text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ranks = self._ranks()
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = True
+        self.fast = self._fast()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str] | None:
-        if _LOOSE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[f" {w}" for w in rest]]
-
-    def _ranks(self):
-        """The same vocabulary in a faster library, for words of letters only; None unless ids are in the order of merges,
-        as that library takes them for."""
+    def _fast(self):
         import json
 
         import tiktoken
 
-        model = json.loads(self.tokenizer.to_str())["model"]
+        spec = json.loads(self.tokenizer.to_str())
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer"):
+            return None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         byte = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(sorted({*range(256)} - {*plain}))}
-        ranks = {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if all(c in byte for c in w)}
         merges = [model["vocab"][a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
         if merges != list(range(256, 256 + len(merges))):
             return None
-        return tiktoken.Encoding("words", pat_str=r" ?\p{L}+|\n", mergeable_ranks={w: i for w, i in ranks.items() if i < 256 + len(merges)}, special_tokens={})
-
-    def lines(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each on a line of its own in one text: between two words stands the id of the line end."""
-        if self.ranks is None:
-            return self.whole(words)
-        ids = np.array(self.ranks.encode_ordinary("\n".join(words)), "<u4")
-        end = self.ranks.encode_ordinary("\n")
-        at = np.flatnonzero(ids == end[0])
-        raw, cuts = ids.tobytes(), [0, *(4 * at + 4).tolist(), 4 * len(ids) + 4]
-        found = [raw[a : b - 4] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return found if len(found) == len(words) else self.whole(words)
-
-    def learn(self, new: set[str]) -> None:
-        """Look up words that aren't known yet."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        if len(self.letters) > REMEMBERED:
-            self.letters.clear()
-        parts = [(w, core, w[len(core) :]) for w in new for core in (w.rstrip(_MARKS),)]
-        plain = [x for x in parts if (x[1][1:] if x[1][:1] == " " else x[1]).isalpha()]
-        todo = list({core for _, core, _ in plain} - self.letters.keys())
-        for k in range(0, len(todo), 4096):
-            self.letters.update(zip(todo[k : k + 4096], self.lines(todo[k : k + 4096]), strict=True))
-        marks = list({m for _, _, m in plain})
-        of_mark = dict(zip(marks, self.whole(marks), strict=True))
-        self.known.update((w, self.letters[core] + of_mark[m]) for w, core, m in plain)
-        rest = list(new - {w for w, _, _ in plain})
-        self.known.update(zip(rest, self.whole(rest), strict=True))
+        ranks = {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("ids", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
-        known = self.known
-        new = {w for words in cut if words for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            new = {w for words in cut if words for w in words}
-        if new:
-            self.learn(new)
-        loose = iter(self.whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        return [next(loose) if words is None else b"".join([known[w] for w in words]) for words in cut]
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker, which keeps what it has learnt from task to task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+        if self.fast:
+            return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def _pieces(path: str, length: int):
@@ -129,10 +72,10 @@ def _pieces(path: str, length: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
-        words, n = tokenizer(path), 0
+        tokenizer, n = Ids(path), 0
         for chunk in shared.regrouped(batches, "text"):
             out: list[tuple] = []
-            for doc, ids in zip(chunk.column("doc_id").to_pylist(), words.encode([t or "" for t in chunk.column("text").to_pylist()]), strict=True):
+            for doc, ids in zip(chunk.column("doc_id").to_pylist(), tokenizer.encode([t or "" for t in chunk.column("text").to_pylist()]), strict=True):
                 ids += END
                 total = len(ids) // 4
                 start = 0
