@@ -56,7 +56,7 @@ def set_of(spark: SparkSession, d: str, axis: str) -> DataFrame:
     """Two overlapping sets, of parts or of suppliers."""
     if axis == "feature":
         dim = table(spark, d, "part")
-        sets = {"large": dim.where("p_size >= 25").select("p_partkey"), "dear": dim.where("p_retailprice >= 1000").select("p_partkey")}
+        sets = {"large": dim.where("p_size >= 25").select("p_partkey"), "dear": dim.where("p_retailprice >= 950").select("p_partkey")}
     else:
         dim = table(spark, d, "supplier")
         sets = {"rich": dim.where("s_acctbal >= 0").select("s_suppkey"), "early": dim.where("s_nationkey < 12").select("s_suppkey")}
@@ -134,7 +134,7 @@ _BH_SQL = _BH.format(e=R("effect"), p=R("p"), f=R("fdr"))
 
 
 #: Sets are listed in the order of their names, as the columns are.
-_PART_SETS = {"dear": "feature IN (SELECT p_partkey FROM part WHERE p_retailprice >= 1000)", "large": "feature IN (SELECT p_partkey FROM part WHERE p_size >= 25)"}
+_PART_SETS = {"dear": "feature IN (SELECT p_partkey FROM part WHERE p_retailprice >= 950)", "large": "feature IN (SELECT p_partkey FROM part WHERE p_size >= 25)"}
 _SUPPLIER_SETS = {"early": "sample IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)", "rich": "sample IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"}
 
 

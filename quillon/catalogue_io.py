@@ -1,7 +1,206 @@
-"""Registered queries of packages, containers, graphs, spatial layers and ingest."""
+"""Registered queries of packages, containers, graphs, spatial layers and ingest: what is written is read back."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.plans import spatial
+from quillon.plans.containers import Experiment
+from quillon.plans.graph import Graph
+from quillon.plans.matrix import SparseMatrix
+from quillon.sources import fields, files, packages, writer
+from quillon.streaming import ingest
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- packages -------------------------------------------------------------------------------
+
+
+def roundtrip_table(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    packages.write_tables({"supplier": table(spark, d, "supplier"), "nation": table(spark, d, "nation")}, path)
+    return packages.read_package(spark, path)["supplier"].drop(writer.INDEX)
+
+
+def _sales(spark: SparkSession, d: str) -> SparseMatrix:
+    cells = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    return SparseMatrix.attach(cells, table(spark, d, "part").select("p_partkey", "p_brand"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "l_partkey", "l_suppkey", "q")
+
+
+def _experiment(spark: SparkSession, d: str) -> Experiment:
+    m = _sales(spark, d)
+    return Experiment(m.features, m.samples, {"sales": m}, {"title": "sales", "nested": {"units": ["pieces"]}})
+
+
+def roundtrip_matrix(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    packages.write_experiment(_experiment(spark, d), path, grid=(32, 512))
+    e = packages.read_package(spark, path)
+    f, s = (n.withColumn("name", F.col("name").cast("long")) for n in (e.feature_names(), e.sample_names()))
+    return e.assays["sales"].cells.join(f.withColumnRenamed("name", "part"), "feature").join(s.withColumnRenamed("name", "supplier"), "sample").select("part", "supplier", "value")
+
+
+def roundtrip_embedding(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    samples = rows.select(F.col("vec_id").alias("sample"), "label")
+    e = Experiment(spark.range(1).select(F.col("id").alias("feature")), samples, embeddings={"vector": rows.select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("embedding"))})
+    path = files.scratch(spark, "package")
+    packages.write_experiment(e, path)
+    back = packages.read_package(spark, path)
+    out = back.embeddings["vector"].join(back.samples, "sample")
+    return out.select(F.col("name").cast("long").alias("vec_id"), "label", F.size("embedding").cast("long").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def roundtrip_multipart(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "parts")
+    orders = table(spark, d, "orders")
+    ingest.write_blocks([orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'none such'"), orders.where("o_orderstatus <> 'F'")], path, "orders", index_max=1 << 40)
+    back = spark.read.parquet(path)
+    last = back.agg(F.max(writer.INDEX).alias("rows"))
+    return back.crossJoin(last).select("o_orderkey", "o_custkey", "o_orderstatus", "rows")
+
+
+def roundtrip_partition_prune(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "grid")
+    r = writer.write_array(_sales(spark, d).cells, path, ["sample", "feature"], grid=(16, 256), name="sales") | {"grid": {"sample": 16, "feature": 256}}
+    return packages.read_array(spark, path.rsplit("/", 1)[0], r, {"sample": (1, 40)}).select("feature", "sample", "value")
+
+
+def roundtrip_factor(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    customers = fields.categorical(table(spark, d, "customer"), "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], True)
+    packages.write_tables({"customer": customers}, path)
+    back = packages.read_package(spark, path)["customer"]
+    levels = back.schema["c_mktsegment"].metadata["categories"]
+    code = F.array_position(F.array(*map(F.lit, levels)), F.col("c_mktsegment"))
+    return back.groupBy("c_mktsegment", code.alias("code")).agg(F.count("*").alias("n"))
+
+
+def ingest_foreach_batch(spark: SparkSession, d: str) -> DataFrame:
+    path, events = files.scratch(spark, "stream"), table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    ingest.ingest(stream, path, files.scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def zorder_written(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "curve")
+    writer.write_table(table(spark, d, "part"), path, cluster_by="zorder", cluster_columns=["p_size", "p_retailprice"])
+    return spark.read.parquet(path).select("p_partkey", "p_size", "p_retailprice")
+
+
+def hilbert_written(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "curve")
+    writer.write_table(table(spark, d, "part"), path, cluster_by="hilbert", cluster_columns=["p_size", "p_retailprice"])
+    return spark.read.parquet(path).select("p_partkey", "p_size", "p_retailprice")
+
+
+# --- graphs ---------------------------------------------------------------------------------
+
+
+def _supplier_graph(spark: SparkSession, d: str) -> Graph:
+    """Suppliers that have sold the same part in the same order line number; nodes numbered by key."""
+    pairs = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s")).distinct()
+    edges = pairs.alias("a").join(pairs.alias("b"), "l_orderkey").where("a.s < b.s").groupBy((F.col("a.s") + 1).alias("from"), (F.col("b.s") + 1).alias("to")).agg(F.count("*").alias("orders"))
+    return Graph(edges, table(spark, d, "supplier").count())
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").where("s_nationkey < 5").select((F.col("s_suppkey") + 1).alias("node"))
+
+
+_EDGES = """WITH o AS (SELECT DISTINCT l_orderkey, l_suppkey + 1 AS s FROM lineitem), e AS (SELECT a.s AS f, b.s AS t, count(*) AS orders FROM o a JOIN o b USING (l_orderkey) WHERE a.s < b.s GROUP BY 1, 2),
+n AS (SELECT s_suppkey + 1 AS node, row_number() OVER (ORDER BY s_suppkey) AS position FROM supplier WHERE s_nationkey < 5) """
+
+
+def graph_subset(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    numbered = writer.positions(nodes, "node")
+    return _supplier_graph(spark, d).subset(numbered).edges
+
+
+# --- spatial --------------------------------------------------------------------------------
+
+SQUARES = {"low": [(0, 900), (20, 900), (20, 930), (0, 930)], "mid": [(15, 925), (35, 925), (35, 960), (15, 960)], "slope": [(30, 950), (50, 950), (50, 1000)]}
+
+
+def _layers(spark: SparkSession, d: str) -> spatial.SpatialExperiment:
+    """Parts as points (size, price), three polygons as shapes, and suppliers' sales as the mapped assay."""
+    points = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("instance_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    shapes = spark.createDataFrame([(n, [{"x": float(a), "y": float(b)} for a, b in ring]) for n, ring in SQUARES.items()], T.StructType([T.StructField("instance_id", T.StringType()), T.StructField("geometry", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))]))
+    e = _experiment(spark, d)
+    m = SparseMatrix(e.assays["sales"].cells, e.features, e.samples).transpose()
+    parts = Experiment(m.features, m.samples, {"sales": m})
+    smap = table(spark, d, "part").select(F.lit("sales").alias("assay"), F.col("p_partkey").cast("string").alias("colname"), F.lit("points").alias("element_type"), F.lit("parts").alias("region"), F.col("p_partkey").cast("string").alias("instance_id"))
+    ghost = spark.createDataFrame([("sales", "no such", "points", "parts", "no such"), ("sales", "0", "shapes", "ghost", "0")], smap.schema)
+    subjects = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("subject"))
+    links = subjects.select(F.lit("sales").alias("assay"), F.col("subject").alias("primary"), F.col("subject").alias("colname"))
+    transforms = {"points/parts": {"global": {"type": "identity"}, "scaled": {"type": "scale", "scale": [2, 0.5]}}}
+    return spatial.SpatialExperiment({"sales": parts}, subjects, links, points={"parts": points}, shapes={"zones": shapes}, spatial_map=smap.unionAll(ghost), transforms=transforms)
+
+
+def _inside(ring: list[tuple[float, float]], x: str = "p_size", y: str = "p_retailprice") -> str:
+    """Ray casting with borders, as SQL."""
+    crossings, borders = [], []
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        borders.append(f"(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}) = 0 AND {x} BETWEEN {min(ax, bx)} AND {max(ax, bx)} AND {y} BETWEEN {min(ay, by)} AND {max(ay, by)})")
+        if ay != by:
+            crossings.append(f"CASE WHEN ({ay} > {y}) <> ({by} > {y}) AND {x} < ({bx} - {ax})::DOUBLE * ({y} - {ay}) / ({by} - {ay}) + {ax} THEN 1 ELSE 0 END")
+    return f"({' OR '.join(borders)} OR ({' + '.join(crossings)}) % 2 = 1)"
+
+
+_HITS = " UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, '{n}' AS zone FROM part WHERE {_inside(r)}" for n, r in SQUARES.items())
+
+
+def bbox_subset(spark: SparkSession, d: str) -> DataFrame:
+    out = spatial.subset_by_box(_layers(spark, d), 10, 30, 910, 980)
+    m = out.experiments["sales"].assays["sales"]
+    return m.sums("sample").select(F.col("sample").alias("part"), F.round("sum", 6).alias("total"))
+
+
+def polygon_subset(spark: SparkSession, d: str) -> DataFrame:
+    out = spatial.subset_by_polygon(_layers(spark, d), "POLYGON ((30 950, 50 950, 50 1000, 30 950))")
+    return out.points["parts"].select("instance_id", "x", "y")
+
+
+def region_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    x = spatial.annotate_with_regions(_layers(spark, d), "parts", "zones")
+    return spatial.aggregate_by_region(x, "sales", "sales", "sum", "annotation").select(F.col("feature").alias("supplier"), F.col("region").alias("zone"), F.round("value", 6).alias("value"))
+
+
+def spatial_views(spark: SparkSession, d: str) -> DataFrame:
+    views = spatial.spatial_views(_layers(spark, d))
+    return spark.sql(f"SELECT count(*) AS n, round(sum(p.x), 2) AS x FROM {views['points/parts']} p JOIN {views['spatial_map']} m ON m.instance_id = p.instance_id AND m.element_type = 'points'")
+
 
 def entries() -> dict:
-    return {}
+    return {
+        "roundtrip_table": (roundtrip_table, "SELECT * FROM supplier"),
+        "roundtrip_matrix": (roundtrip_matrix, "SELECT l_partkey AS part, l_suppkey AS supplier, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2"),
+        "roundtrip_embedding": (roundtrip_embedding, "SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0::DOUBLE AS total FROM embeddings"),
+        "roundtrip_multipart": (roundtrip_multipart, "SELECT o_orderkey, o_custkey, o_orderstatus, (SELECT count(*) FROM orders) AS rows FROM orders"),
+        "roundtrip_partition_prune": (roundtrip_partition_prune, "SELECT l_partkey AS feature, l_suppkey AS sample, sum(l_quantity) AS value FROM lineitem WHERE l_suppkey BETWEEN 1 AND 40 GROUP BY 1, 2"),
+        "roundtrip_factor": (roundtrip_factor, "SELECT c_mktsegment, CAST(list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) AS BIGINT) AS code, count(*) AS n FROM customer GROUP BY 1, 2"),
+        "ingest_foreach_batch": (ingest_foreach_batch, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
+        "zorder_written": (zorder_written, "SELECT p_partkey, p_size, p_retailprice FROM part"),
+        "hilbert_written": (hilbert_written, "SELECT p_partkey, p_size, p_retailprice FROM part"),
+        "graph_subset": (graph_subset, f'{_EDGES} SELECT a.position AS "from", b.position AS "to", orders FROM e JOIN n a ON a.node = f JOIN n b ON b.node = t'),
+        "graph_induced": (lambda s, d: _supplier_graph(s, d).induced(_nodes(s, d)), f'{_EDGES} SELECT f AS "from", t AS "to", orders FROM e WHERE f IN (SELECT node FROM n) AND t IN (SELECT node FROM n)'),
+        "graph_degree": (lambda s, d: _supplier_graph(s, d).degrees(), f"{_EDGES} SELECT node, count(*) AS degree FROM (SELECT f AS node FROM e UNION ALL SELECT t FROM e) GROUP BY 1"),
+        "link_map": (lambda s, d: spatial.link_map(_layers(s, d), region="parts"), "SELECT 'sales' AS assay, CAST(p_partkey AS VARCHAR) AS colname, 'points' AS element_type, 'parts' AS region, CAST(p_partkey AS VARCHAR) AS instance_id, p_size::DOUBLE AS x, p_retailprice AS y FROM part"),
+        "validate_map": (lambda s, d: spatial.validate_map(_layers(s, d)), "SELECT * FROM (VALUES ('unknown_layer', NULL, NULL, 'shapes', 'ghost', NULL), ('orphan_instance', 'sales', 'no such', 'points', 'parts', 'no such'), ('orphan_colname', 'sales', 'no such', 'points', 'parts', 'no such')) AS t(violation, assay, colname, element_type, region, instance_id)"),
+        "coordinate_systems": (lambda s, d: s.createDataFrame([(c,) for c in _layers(s, d).coordinate_systems()], "system string"), "SELECT * FROM (VALUES ('global'), ('scaled')) AS t(system)"),
+        "aligned_points": (lambda s, d: spatial.aligned(_layers(s, d), "points/parts", "scaled").select("instance_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), "SELECT CAST(p_partkey AS VARCHAR) AS instance_id, round(p_size * 2.0::DOUBLE, 4) AS x, round(p_retailprice * 0.5::DOUBLE, 4) AS y FROM part"),
+        "spatial_overlaps": (lambda s, d: spatial.overlaps(_layers(s, d).points["parts"], SQUARES["slope"]).select("instance_id", "overlaps"), f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, {_inside(SQUARES['slope'])} AS overlaps FROM part"),
+        "spatial_join": (lambda s, d: spatial.element_join(_layers(s, d), "points/parts", "shapes/zones").select("instance_id", F.col("shape_instance_id").alias("zone")), _HITS),
+        "polygon_match": (lambda s, d: spatial.spatial_match(_layers(s, d).points["parts"], _layers(s, d).shapes["zones"], "instance_id", "instance_id"), f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, min(zone) AS match FROM part LEFT JOIN ({_HITS}) h ON h.instance_id = CAST(p_partkey AS VARCHAR) GROUP BY 1"),
+        "bbox_subset": (bbox_subset, "SELECT p_partkey AS part, coalesce(sum(l_quantity), 0::DOUBLE) AS total FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 910 AND 980 GROUP BY 1"),
+        "polygon_subset": (polygon_subset, f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE {_inside(SQUARES['slope'])}"),
+        "region_aggregate": (region_aggregate, f"WITH z AS (SELECT instance_id, min(zone) AS zone FROM ({_HITS}) GROUP BY 1), q AS (SELECT l_suppkey, zone, sum(l_quantity) AS v FROM lineitem JOIN z ON instance_id = CAST(l_partkey AS VARCHAR) GROUP BY 1, 2) SELECT s_suppkey AS supplier, zs.zone, coalesce(v, 0::DOUBLE) AS value FROM supplier CROSS JOIN (SELECT DISTINCT zone FROM z) zs LEFT JOIN q ON q.l_suppkey = s_suppkey AND q.zone = zs.zone"),
+        "spatial_views": (spatial_views, "SELECT count(*) AS n, round(sum(p_size), 2) AS x FROM part"),
+    }
