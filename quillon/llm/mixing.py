@@ -69,7 +69,7 @@ def raked(cells: pd.DataFrame, targets: dict[str, pd.Series], rounds: int = ROUN
     for _ in range(rounds):
         start = fitted.copy()
         for m, (code, _) in codes.items():
-            now = np.bincount(code, fitted, len(goal[m]))
+            now = np.bincount(code, fitted, len(goal[m])).astype(float)
             fitted = fitted * np.divide(goal[m], now, out=np.zeros_like(now), where=now > 0)[code]
         if np.abs(fitted - start).max(initial=0) <= tolerance * max(total, 1):
             break
@@ -83,9 +83,10 @@ def raked_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = R
     for _ in range(rounds):
         before = cells.withColumn("start", F.col("fitted"))
         for m, goal in targets.items():
-            now = before.groupBy(m).agg(F.sum("fitted").alias("now"))
-            factor = now.join(goal, now[m].eqNullSafe(goal[m]), "left").select(now[m], F.coalesce(F.try_divide("goal", "now"), F.lit(0.0)).alias("factor"))
-            before = before.join(factor, before[m].eqNullSafe(factor[m])).select(*(before[c] for c in before.columns if c != "fitted"), (F.col("fitted") * F.col("factor")).alias("fitted"))
+            now = before.groupBy(F.col(m).alias("__m")).agg(F.sum("fitted").alias("__now"))
+            goals = goal.select(F.col(m).alias("__g"), "goal")
+            factor = now.join(goals, F.col("__m").eqNullSafe(F.col("__g")), "left").select("__m", F.coalesce(F.try_divide("goal", "__now"), F.lit(0.0)).alias("__factor"))
+            before = before.join(factor, F.col(m).eqNullSafe(F.col("__m"))).withColumn("fitted", F.col("fitted") * F.col("__factor")).drop("__m", "__factor")
         cells = shared.written(before, "raked")
         moved = cells.agg(F.max(F.abs(F.col("fitted") - F.col("start")))).first()[0] or 0.0
         cells = cells.drop("start")
