@@ -115,15 +115,20 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[int, int, int, int,
                 if not gaps[room]:
                     del rooms[at]
             else:
-                fit = length // n
-                room, first, size = length, opened, -(-left // fit)
+                room, first, size = length, opened, -(-left // (length // n))
                 opened += size
-            take = min(left, size)
-            out.append((n, rank, take, first, length - room))
-            rank += take
-            left -= take
-            leave(room, (first + take, size - take))
-            leave(room - n, (first, take))
+            fit = room // n
+            full, over = (size, 0) if left >= size * fit else divmod(left, fit)
+            for k in range(fit if full else 0):  # a gap stays the successor until the next piece doesn't fit
+                out.append((n, rank, full, first, length - room + k * n))
+                rank += full
+            for k in range(over):
+                out.append((n, rank, 1, first + full, length - room + k * n))
+                rank += 1
+            left -= full * fit + over
+            leave(room - fit * n, (first, full))
+            leave(room - over * n, (first + full, 1 if over else 0))
+            leave(room, (first + full + bool(over), size - full - bool(over)))
     return out
 
 
