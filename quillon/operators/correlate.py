@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels as K
-from quillon.operators.markers import bh
+from quillon.operators.markers import bh, capped
 from quillon.plans.matrix import SparseMatrix
 
 #: Features whose pairs are all computed without a choice of pairs.
@@ -53,6 +53,6 @@ def correlate_pairs(m: SparseMatrix, pairs: DataFrame | None = None, significanc
     out = out.select("feature1", "feature2", rho.alias("rho"))
     if significance:
         t = F.col("rho") * F.sqrt(F.try_divide(F.lit(n - 2), F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(1e-300))))
-        out = out.withColumn("log_p", F.least(F.lit(0.0), K.t_left(-F.abs(t), F.when(F.lit(n) > 2, F.lit(n - 2))) + K.LN2)).withColumn("__all", F.pmod(F.lit(0), F.lit(1)))
+        out = out.withColumn("log_p", capped(K.t_left(-F.abs(t), F.when(F.lit(n) > 2, F.lit(n - 2))) + K.LN2)).withColumn("__all", F.pmod(F.lit(0), F.lit(1)))
         out = bh(out.withColumn("feature", F.struct("feature1", "feature2")), ["__all"], "log_p", "log_fdr").select("feature1", "feature2", "rho", F.exp("log_p").alias("p_value"), F.exp("log_fdr").alias("fdr"))
     return out

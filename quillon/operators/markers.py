@@ -49,6 +49,11 @@ def cohen(delta: Column) -> Column:
     return F.when(delta == 0, F.lit(0.0)).otherwise(F.try_divide(delta, F.sqrt(pooled)))
 
 
+def capped(log_p: Column) -> Column:
+    """A log probability of 0 at most; null stays null."""
+    return F.when(log_p > 0, F.lit(0.0)).otherwise(log_p)
+
+
 def directed(left: Column, right: Column, direction: str) -> Column:
     if direction == "up":
         return right
@@ -56,7 +61,7 @@ def directed(left: Column, right: Column, direction: str) -> Column:
         return left
     if direction != "any":
         raise ValueError(f"no direction {direction!r}")
-    return F.least(F.lit(0.0), F.least(left, right) + K.LN2)
+    return capped(F.least(left, right) + K.LN2)
 
 
 def bh(df: DataFrame, keys: Sequence[str], log_p: str, out: str) -> DataFrame:
@@ -169,12 +174,12 @@ def combine_markers(pairwise: DataFrame, pval_type: str = "any", min_prop: float
         running = Window.partitionBy("first", "feature").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
         r = r.withColumn("adjusted", F.max(F.col("log_p") + F.ln(F.col("k") - F.col("order") + F.lit(1.0))).over(running))
         mine = F.col("order") == F.greatest(F.lit(1), F.ceil(F.col("k") * share))
-        picked, value = F.max(F.when(mine, F.struct("log_p", "effect"))), F.least(F.lit(0.0), F.max(F.when(mine, F.col("adjusted"))))
+        picked, value = F.max(F.when(mine, F.struct("log_p", "effect"))), F.max(F.when(mine, F.col("adjusted")))
     else:
         raise ValueError(f"no pval_type {pval_type!r}")
     need = F.greatest(F.lit(1), F.ceil(F.col("k") * share))
     ranks = F.element_at(F.array_sort(F.collect_list("rank")), F.max(need).cast("int"))  # one for each other group
-    out = r.groupBy("first", "feature").agg(F.least(F.lit(0.0), value).alias("log_p"), picked.alias("picked"), ranks.alias("top"))
+    out = r.groupBy("first", "feature").agg(capped(value).alias("log_p"), picked.alias("picked"), ranks.alias("top"))
     out = bh(out.withColumnRenamed("first", "group"), ["group"], "log_p", "log_fdr")
     out = out.select("group", "feature", F.col("top").cast("long").alias("top"), "log_p", "log_fdr", F.col("picked.effect").alias("summary_effect"))
     return out if log_p else out.select("group", "feature", "top", F.exp("log_p").alias("p_value"), F.exp("log_fdr").alias("fdr"), "summary_effect")

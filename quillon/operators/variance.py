@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import kernels as K
 from quillon.functions.trend import NONE, Trend, fit_trend_cv2, fit_trend_var, poisson_points
 from quillon.operators import normalize
-from quillon.operators.markers import bh
+from quillon.operators.markers import bh, capped
 from quillon.operators.moments import moments
 from quillon.plans.matrix import SparseMatrix
 
@@ -72,7 +72,7 @@ def _over_blocks(done: DataFrame, blocked: bool, equiweight: bool, method: str,
     z = K.normal_quantile(F.col("log_p"))
     done = done.withColumn("z", z if method == "stouffer" else F.lit(0.0))
     got = done.groupBy("feature").agg(*(mean(c) for c in ("mean", "total", "trend")), F.sum("log_p").alias("s"), F.count("log_p").alias("k"), F.try_divide(F.sum(w * F.col("z")), F.sqrt(F.sum(F.when(F.col("log_p").isNotNull(), w * w)))).alias("z"), F.min("log_p").alias("least"))
-    combined = {"fisher": K.fisher_log_p(F.col("s"), F.when(F.col("k") > 0, F.col("k"))), "stouffer": K.normal_left(F.col("z")), "bonferroni": F.least(F.lit(0.0), F.col("least") + F.ln(F.when(F.col("k") > 0, F.col("k"))))}
+    combined = {"fisher": K.fisher_log_p(F.col("s"), F.when(F.col("k") > 0, F.col("k"))), "stouffer": K.normal_left(F.col("z")), "bonferroni": capped(F.col("least") + F.ln(F.when(F.col("k") > 0, F.col("k"))))}
     if method not in combined:
         raise ValueError(f"no method {method!r}")
     return got.withColumn("log_p", combined[method]).select("feature", "mean", "total", "trend", "log_p")

@@ -173,7 +173,7 @@ def read_resource(spark: SparkSession, path: str, r: dict):
     if layout.startswith("genomic_ranges"):
         df = df.select(*(F.col(c).alias(next((role for role, own in schema.get("genomicCoords", {}).items() if own == c), c)) for c in df.columns))
     if layout == "transposed_data_frame":
-        keys = [c for c in fields.roles(r)["keys"] if c in df.columns]
+        keys = [c for c in dict.fromkeys([*fields.roles(r)["keys"], INDEX, NAME]) if c in df.columns]
         values = [c for c in df.columns if c not in keys]
         df = df.unpivot(keys, values, "feature", "value")
     if layout == "spatial_shapes" and (geom := schema.get("spatialCoords", {}).get("geometry")) and dict(df.dtypes)[geom] == "binary":
