@@ -250,9 +250,12 @@ def pairing_frame(m: SparseMatrix, pairings) -> DataFrame:
     return m.spark.createDataFrame(chosen, ["first", "second"])
 
 
-def effects(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None, pairings=None, lfc: float = 0.0, true_auc: bool = False) -> DataFrame:
+SIDES = ("self_average", "other_average", "self_detected", "other_detected")
+
+
+def effects(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None, pairings=None, lfc: float = 0.0, true_auc: bool = False, sides: bool = False) -> DataFrame:
     """(feature, first, second, cohen, auc, delta_mean, lfc_detected). The AUC is a normal approximation unless true_auc is
-    set. With blocks, effects of blocks are averaged with weights n1 n2."""
+    set. With blocks, effects of blocks are averaged with weights n1 n2. With sides (and no blocks) also the means and detected shares of both groups."""
     blocked = blocks is not None
     stats = _stats(m, groups.where("group IS NOT NULL"), blocks, THRESHOLD)
     p = _pairs(stats, ["n", "mean", "var", "detected"], blocked)
@@ -265,6 +268,7 @@ def effects(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None,
         F.when(F.col("var1").isNotNull() & F.col("var2").isNotNull(), delta / F.sqrt(F.greatest(F.col("var1") / F.col("n1") + F.col("var2") / F.col("n2"), F.lit(LEAST_VAR)))).alias("z"),
         delta.alias("delta_mean"),
         (F.log2((F.col("detected1") + 0.5) / (F.col("n1") + 1)) - F.log2((F.col("detected2") + 0.5) / (F.col("n2") + 1))).alias("lfc_detected"),
+        *(c for i, who in ((1, "self"), (2, "other")) for c in (F.col(f"mean{i}").alias(f"{who}_average"), F.try_divide(F.col(f"detected{i}"), F.col(f"n{i}")).alias(f"{who}_detected"))),
     )
     p = p.withColumn("cohen", F.when(F.col("z").isNotNull(), F.col("cohen")))
     if true_auc:
@@ -281,21 +285,36 @@ def effects(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None,
     out = ["cohen", "auc", "delta_mean", "lfc_detected"]
     if blocked:
         p = p.groupBy("feature", "first", "second").agg(*(F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c) for c in out))
-    return p.select("feature", "first", "second", *out)
+    return p.select("feature", "first", "second", *out, *([] if blocked else SIDES) if sides else [])
+
+
+def _median(sorted_values: str) -> Column:
+    """Of a sorted array; null if it is empty."""
+    n = F.size(sorted_values)
+    low, high = (F.get(sorted_values, F.floor(k / 2).cast("int")) for k in (n - 1, n))
+    return F.when(n > 0, (low + high) / 2)
 
 
 def score_markers(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None, pairings=None, lfc: float = 0.0, row_data: DataFrame | None = None, full_stats: bool = False, true_auc: bool = False) -> DataFrame:
     """For each group and feature: self and other averages and detected shares, and of each effect its mean, median, min and
     max over comparisons and the least rank (largest effect first) that the feature has in one of them. With full_stats also
     the effects by other group, as maps."""
-    e = effects(m, groups, blocks, pairings, lfc, true_auc).withColumnRenamed("first", "group")
+    whole = blocks is None and pairings is None  # then the pairs have all that averages of the other groups need
+    e = effects(m, groups, blocks, pairings, lfc, true_auc, sides=whole).withColumnRenamed("first", "group")
     names = ("cohen", "auc", "lfc_detected")
     for c in names:
         e = e.withColumn(f"rank_{c}", F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy("group", "second").orderBy(F.col(c).desc_nulls_last()))))
-    aggs = [a for c in names for a in (F.avg(c).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.min(f"rank_{c}").cast("long").alias(f"rank_{c}"))]
+    # Lists of one entry for each other group.
+    aggs = [a for c in names for a in (F.avg(c).alias(f"mean_{c}"), F.array_sort(F.collect_list(c)).alias(f"all_{c}"), F.min(f"rank_{c}").cast("long").alias(f"rank_{c}"))]
+    if whole:
+        aggs += [F.any_value(c).alias(c) if c.startswith("self") else F.avg(c).alias(c) for c in SIDES]
     if full_stats:
         aggs += [F.map_from_entries(F.collect_list(F.struct("second", c))).alias(f"full_{c}") for c in names]
-    out = summary_marker_stats(m, groups).join(e.groupBy("group", "feature").agg(*aggs), ["group", "feature"], "left")
+    got = e.groupBy("group", "feature").agg(*aggs)
+    made = [x for c in names for x in (F.col(f"mean_{c}"), _median(f"all_{c}").alias(f"median_{c}"), F.array_min(f"all_{c}").alias(f"min_{c}"), F.array_max(f"all_{c}").alias(f"max_{c}"), F.col(f"rank_{c}"))]
+    made += [F.col(f"full_{c}") for c in names] if full_stats else []
+    out = got if whole else summary_marker_stats(m, groups).join(got, ["group", "feature"], "left")
+    out = out.select("group", "feature", *SIDES, *made)
     return out if row_data is None else with_row_data(out, row_data)
 
 

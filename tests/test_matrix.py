@@ -157,3 +157,19 @@ def test_curves():
     x, y = (v.ravel() for v in np.meshgrid(side, side))
     order = np.argsort(zorder.hilbert_index(x, y, 4))
     assert (np.abs(np.diff(x[order])) + np.abs(np.diff(y[order])) == 1).all()  # each step goes to a neighbour
+
+
+def test_scores_with_and_without_all_pairs(spark):
+    m, g = matrix(spark, dense()), groups(spark)
+    a = markers.score_markers(m, g, full_stats=True).toPandas().set_index(["group", "feature"])
+    b = markers.score_markers(m, g, pairings=["a", "b", "c"]).toPandas().set_index(["group", "feature"]).loc[a.index]
+    own = markers.summary_marker_stats(m, g).toPandas().set_index(["group", "feature"]).loc[a.index]
+    middle = markers.summary_marker_stats(m, g, average="median").toPandas().set_index(["group", "feature"]).loc[a.index]
+    for c in b.columns:
+        assert np.allclose(a[c].astype(float), b[c].astype(float))
+    for c in markers.SIDES:
+        assert np.allclose(a[c], own[c]) and np.allclose(a[c], middle[c])  # two other groups: the median is the mean
+    assert all(len(x) == 2 for x in a["full_auc"])
+    blocks = spark.createDataFrame([(j, j % 2) for j in range(N)], "sample int, block int")
+    c = markers.score_markers(m, g, blocks=blocks, true_auc=True).toPandas()
+    assert len(c) == 3 * G and c["mean_auc"].between(0, 1).all()
