@@ -157,6 +157,38 @@ def _column(f):
     return lambda *cols: (one, two, three)[len(cols) - 1](*(c.cast("double") if isinstance(c, Column) else c for c in cols))
 
 
+def t_tails(left: Column, right: Column | None, df: Column) -> Column:
+    """A struct of log P(T <= left) and log P(T > right); with right None both are of the same value, at the cost of one."""
+
+    def both(t: pd.Series, u: pd.Series | None, df: pd.Series) -> pd.DataFrame:
+        a, d = t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan)
+        b = a if u is None else u.to_numpy(dtype=float, na_value=np.nan)
+        ok = np.isfinite(a) & np.isfinite(b) & (d > 0)
+        lo, hi = np.full(len(a), np.nan), np.full(len(a), np.nan)
+        if ok.any() and u is None:
+            x, k = a[ok], d[ok]
+            tail = log_beta_inc(k / 2, np.full_like(k, 0.5), k / (k + x * x)) - LN2
+            rest = log1mexp(tail)
+            lo[ok], hi[ok] = np.where(x < 0, tail, rest), np.where(x < 0, rest, tail)
+        elif ok.any():
+            lo[ok], hi[ok] = log_pt(a[ok], d[ok]), log_pt(b[ok], d[ok], upper=True)
+        return pd.DataFrame({c: pd.Series(v).astype("Float64").where(ok, pd.NA) for c, v in (("left", lo), ("right", hi))})
+
+    if right is None:
+
+        @F.pandas_udf("left double, right double")
+        def one(t: pd.Series, df: pd.Series) -> pd.DataFrame:
+            return both(t, None, df)
+
+        return one(left, df)
+
+    @F.pandas_udf("left double, right double")
+    def two(t: pd.Series, u: pd.Series, df: pd.Series) -> pd.DataFrame:
+        return both(t, u, df)
+
+    return two(left, right, df)
+
+
 def t_left(t: Column, df: Column) -> Column:
     return _column(lambda a, b: log_pt(a, b))(t, df)
 

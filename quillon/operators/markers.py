@@ -107,8 +107,8 @@ def pairwise_t_tests(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | Non
     tests = welch(_pairs(stats, ["n", "mean", "var"], blocked))
     err = F.sqrt("err2")
     tests = (
-        tests.withColumn("left", K.t_left((F.col("delta") + lfc) / err, F.col("df")))
-        .withColumn("right", K.t_right((F.col("delta") - lfc) / err, F.col("df")))
+        tests.withColumn("tails", K.t_tails((F.col("delta") + lfc) / err, (F.col("delta") - lfc) / err if lfc else None, F.col("df")))
+        .withColumns({"left": F.col("tails.left"), "right": F.col("tails.right")})
         .withColumn("effect", cohen(F.col("delta")) if std_lfc else F.col("delta"))
         .withColumn("weight", F.try_divide(F.lit(1.0), F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))
     )
