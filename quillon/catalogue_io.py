@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.plans import spatial
-from quillon.plans.containers import Experiment
+from quillon.plans.containers import Experiment, MultiAssay
 from quillon.plans.graph import Graph
 from quillon.plans.matrix import SparseMatrix
 from quillon.sources import fields, files, packages, writer
@@ -100,6 +100,95 @@ def hilbert_written(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("p_partkey", "p_size", "p_retailprice")
 
 
+def roundtrip_ranges(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    ranges = table(spark, d, "orders").select(F.col("o_orderpriority").alias("seqnames"), (F.col("o_orderkey") + 1).alias("start"), (F.col("o_orderkey") + 10).alias("end"), F.lit("+").alias("strand"), F.lit(10).alias("width"), "o_custkey")
+    r = writer.write_ranges(ranges, path, "ranges")
+    return packages.read_resource(spark, path.rsplit("/", 1)[0], r).drop(writer.INDEX)
+
+
+def roundtrip_ranges_list(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    orders = table(spark, d, "orders").groupBy("o_custkey")
+    grouped = orders.agg(F.collect_list("o_orderpriority").alias("seqnames"), F.collect_list("o_orderkey").alias("start"), F.collect_list(F.col("o_orderkey") + 9).alias("end"), F.collect_list(F.lit("*")).alias("strand"))
+    r = writer.write_ranges(grouped, path, "ranges", grouped=True)
+    total = F.aggregate("end", F.lit(0).cast("long"), lambda a, x: a + x)
+    return packages.read_resource(spark, path.rsplit("/", 1)[0], r).select("o_custkey", F.size("start").cast("long").alias("n"), total.alias("ends"))
+
+
+def roundtrip_transposed(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    wide = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias(writer.NAME), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    r = writer.write_transposed(wide, path, "wide")
+    return packages.read_resource(spark, path.rsplit("/", 1)[0], r).select(F.col(writer.NAME).alias("sample"), "feature", "value")
+
+
+def roundtrip_graph(spark: SparkSession, d: str) -> DataFrame:
+    path, g = files.scratch(spark, "package"), _supplier_graph(spark, d)
+    r = writer.write_graph(g.edges, path, "graph", "sample", g.n_nodes)
+    back = packages.read_resource(spark, path.rsplit("/", 1)[0], r)
+    return back.edges.withColumn("nodes", F.lit(len(back)).cast("long"))
+
+
+def roundtrip_labels(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "labels")
+    writer.label_image(table(spark, d, "part").select(F.col("p_partkey").alias("row"), F.col("p_size").alias("column"), (F.col("p_size") % 3).alias("value")), path, "labels")
+    return spark.read.parquet(path)
+
+
+def roundtrip_metadata(spark: SparkSession, d: str) -> DataFrame:
+    path, e = files.scratch(spark, "package"), _experiment(spark, d)
+    e.metadata = {"title": "sales", "deep": {"nations": table(spark, d, "nation"), "units": ["pieces"]}}
+    packages.write_experiment(e, path)
+    back = packages.read_package(spark, path).metadata
+    return back["deep"]["nations"].select("n_nationkey", "n_name", F.lit(back["title"]).alias("title"), F.lit(back["deep"]["units"][0]).alias("unit"))
+
+
+def append_array(spark: SparkSession, d: str) -> DataFrame:
+    path, cells = files.scratch(spark, "grid"), _sales(spark, d).cells
+    n = table(spark, d, "supplier").count()
+    for k in range(2):
+        writer.write_array(cells, path, ["sample", "feature"], grid=(16, 256), append=k > 0, along="sample", offset=k * n, group_offset=k * (n // 16 + 1))
+    return spark.read.parquet(path).groupBy("sample").agg(F.sum("value").alias("total"))
+
+
+def _multi(spark: SparkSession, d: str) -> MultiAssay:
+    """Sales, and order lines, by supplier; the suppliers' nations are the subjects."""
+    e = _experiment(spark, d)
+    lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").cast("double").alias("n"))
+    other = SparseMatrix.attach(lines, e.features, e.samples, "l_partkey", "l_suppkey", "n")
+    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("primary"), F.col("s_suppkey").cast("string").alias("colname"))
+    links = suppliers.select(F.lit("sales").alias("assay"), "primary", "colname").unionAll(suppliers.select(F.lit("lines").alias("assay"), "primary", "colname"))
+    subjects = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("subject"), "n_regionkey")
+    return MultiAssay({"sales": e, "lines": Experiment(e.features, e.samples, {"lines": other})}, subjects, links)
+
+
+def roundtrip_multi_assay(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "package")
+    packages.write_multi_assay(_multi(spark, d), path)
+    back = packages.read_package(spark, path)
+    own = back.subset_subjects(back.subjects.where("n_regionkey = 1").select("subject"))
+    totals = [e.assays[n].sums("sample").join(e.sample_names(), "sample").select(F.lit(n).alias("assay"), F.col("name").cast("long").alias("supplier"), F.round("sum", 6).alias("total")) for n, e in own.experiments.items()]
+    return totals[0].unionAll(totals[1])
+
+
+def roundtrip_spatial(spark: SparkSession, d: str) -> DataFrame:
+    path, x = files.scratch(spark, "package"), _layers(spark, d)
+    packages.write_spatial(x, path)
+    back = packages.read_package(spark, path)
+    return spatial.element_join(back, "points/parts", "shapes/zones").select("instance_id", F.col("shape_instance_id").alias("zone"))
+
+
+def container_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Everything keyed by samples follows a subset: embeddings, tables and graphs."""
+    e = _experiment(spark, d)
+    balance = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.array("s_acctbal").alias("embedding"))
+    e = e.set_member("embeddings", "balance", balance).set_member("col_tables", "accounts", balance.select("sample", F.element_at("embedding", 1).alias("balance"))).set_member("col_graphs", "orders", _supplier_graph(spark, d))
+    own = e.subset_samples(F.col("s_nationkey") < 5)
+    out = own.embeddings["balance"].join(own.col_tables["accounts"], "sample").join(own.assays["sales"].sums("sample"), "sample")
+    return out.crossJoin(own.col_graphs["orders"].edges.agg(F.count("*").alias("edges"))).select("sample", "balance", F.round("sum", 6).alias("total"), "edges")
+
+
 # --- graphs ---------------------------------------------------------------------------------
 
 
@@ -202,5 +291,19 @@ def entries() -> dict:
         "bbox_subset": (bbox_subset, "SELECT p_partkey AS part, coalesce(sum(l_quantity), 0::DOUBLE) AS total FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 910 AND 980 GROUP BY 1"),
         "polygon_subset": (polygon_subset, f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE {_inside(SQUARES['slope'])}"),
         "region_aggregate": (region_aggregate, f"WITH z AS (SELECT instance_id, min(zone) AS zone FROM ({_HITS}) GROUP BY 1), q AS (SELECT l_suppkey, zone, sum(l_quantity) AS v FROM lineitem JOIN z ON instance_id = CAST(l_partkey AS VARCHAR) GROUP BY 1, 2) SELECT s_suppkey AS supplier, zs.zone, coalesce(v, 0::DOUBLE) AS value FROM supplier CROSS JOIN (SELECT DISTINCT zone FROM z) zs LEFT JOIN q ON q.l_suppkey = s_suppkey AND q.zone = zs.zone"),
+        "region_mean": (lambda s, d: spatial.aggregate_by_region(spatial.annotate_with_regions(_layers(s, d), "parts", "zones"), "sales", "sales", "mean", "annotation").select(F.col("feature").alias("supplier"), F.col("region").alias("zone"), F.round("value", 6).alias("value")), f"WITH z AS (SELECT instance_id, min(zone) AS zone FROM ({_HITS}) GROUP BY 1), q AS (SELECT l_suppkey, zone, sum(l_quantity) AS v FROM lineitem JOIN z ON instance_id = CAST(l_partkey AS VARCHAR) GROUP BY 1, 2) SELECT s_suppkey AS supplier, zs.zone, round(coalesce(v, 0::DOUBLE) / zs.n, 6) AS value FROM supplier CROSS JOIN (SELECT zone, count(*) AS n FROM z GROUP BY 1) zs LEFT JOIN q ON q.l_suppkey = s_suppkey AND q.zone = zs.zone"),
+        "instance_filter": (lambda s, d: spatial.filter_by_instances(_layers(s, d).points["parts"], table(s, d, "lineitem").where("l_quantity = 50").select("l_partkey")), "SELECT CAST(p_partkey AS VARCHAR) AS instance_id, p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)"),
+        "layer_extent": (lambda s, d: s.createDataFrame([spatial.extent([_layers(s, d).points["parts"]])]).select("x_min", "x_max", "y_min", "y_max"), "SELECT min(p_size)::DOUBLE AS x_min, max(p_size)::DOUBLE AS x_max, min(p_retailprice) AS y_min, max(p_retailprice) AS y_max FROM part"),
+        "matrix_sums": (lambda s, d: _sales(s, d).map(lambda v: (v > 20).cast("double"), 0.0).sums("feature").select("feature", F.col("sum").cast("long").alias("above")), "SELECT p_partkey AS feature, (SELECT count(*) FROM (SELECT l_suppkey FROM lineitem WHERE l_partkey = p_partkey GROUP BY 1 HAVING sum(l_quantity) > 20)) AS above FROM part"),
+        "roundtrip_ranges": (roundtrip_ranges, "SELECT o_orderpriority AS seqname, o_orderkey + 1 AS start, o_orderkey + 10 AS \"end\", '+' AS strand, o_custkey FROM orders"),
+        "roundtrip_ranges_list": (roundtrip_ranges_list, "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey + 9) AS BIGINT) AS ends FROM orders GROUP BY 1"),
+        "roundtrip_transposed": (roundtrip_transposed, "SELECT CAST(s_suppkey AS VARCHAR) AS sample, 'balance' AS feature, s_acctbal AS value FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'nation', s_nationkey::DOUBLE FROM supplier"),
+        "roundtrip_graph": (roundtrip_graph, f'{_EDGES} SELECT f AS "from", t AS "to", orders, (SELECT count(*) FROM supplier) AS nodes FROM e'),
+        "roundtrip_labels": (roundtrip_labels, "SELECT p_partkey AS row, p_size AS column, p_size % 3 AS value FROM part WHERE p_size % 3 <> 0"),
+        "roundtrip_metadata": (roundtrip_metadata, "SELECT n_nationkey, n_name, 'sales' AS title, 'pieces' AS unit FROM nation"),
+        "append_array": (append_array, "WITH q AS (SELECT l_suppkey AS s, sum(l_quantity) AS total FROM lineitem GROUP BY 1) SELECT s AS sample, total FROM q UNION ALL SELECT s + (SELECT count(*) FROM supplier), total FROM q"),
+        "roundtrip_multi_assay": (roundtrip_multi_assay, "WITH k AS (SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1) SELECT 'sales' AS assay, s_suppkey AS supplier, coalesce(sum(l_quantity), 0::DOUBLE) AS total FROM k LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 2 UNION ALL SELECT 'lines', s_suppkey, count(l_suppkey)::DOUBLE FROM k LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 2"),
+        "roundtrip_spatial": (roundtrip_spatial, _HITS),
+        "container_subset": (container_subset, f"{_EDGES} SELECT s_suppkey AS sample, s_acctbal AS balance, coalesce((SELECT sum(l_quantity) FROM lineitem WHERE l_suppkey = s_suppkey), 0::DOUBLE) AS total, (SELECT count(*) FROM e WHERE f IN (SELECT node FROM n) AND t IN (SELECT node FROM n)) AS edges FROM supplier WHERE s_nationkey < 5"),
         "spatial_views": (spatial_views, "SELECT count(*) AS n, round(sum(p_size), 2) AS x FROM part"),
     }
