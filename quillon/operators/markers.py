@@ -4,9 +4,11 @@ pair of groups. Pairs come from a join of the moments table with itself; nothing
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import kernels as K
 from quillon.operators.moments import THRESHOLD, moments
@@ -210,13 +212,22 @@ def find_markers(m: SparseMatrix, groups: DataFrame, test_type: str = "t", pval_
 # --- effect sizes ---------------------------------------------------------------------------
 
 
+#: Groups that are counted in a column each.
+MAX_COLUMNS = 20
+
+
 def exact_auc(m: SparseMatrix, groups: DataFrame, lfc: float = 0.0, ties: bool = False) -> DataFrame:
     """(feature, first, second, n1, n2, auc): the probability that a value of the first group, less lfc, is above one of the
-    second, ties by half, over stored and filled cells. From counts of distinct values: stored ones are counted by feature,
-    group and value, filled ones added by difference; an event list of both groups' values gives cumulative counts, so no cell
-    meets another one. With ties also the sum of t^3 - t over the tied values of both groups (needs lfc 0)."""
+    second, ties by half, over stored and filled cells (null values count as filled). From counts of distinct values, those of
+    filled cells by difference, and their running sums in the order of values: no cell meets another one. With ties also the
+    sum of t^3 - t over the tied values of both groups (needs lfc 0)."""
     groups = groups.dropna(subset=["group"]).join(m.samples.select("sample"), "sample", "left_semi").select("sample", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
+    m = replace(m, cells=m.cells.where(F.col("value").isNotNull()))
+    if lfc == 0 and isinstance(groups.schema["group"].dataType, T.AtomicType):
+        some = sizes.limit(MAX_COLUMNS + 1).collect()
+        if 1 < len(some) <= MAX_COLUMNS:
+            return _auc_by_columns(m, groups, [(r["group"], r["n"]) for r in some], ties)
     stored = m.cells.join(groups, "sample").groupBy("feature", "group", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
     held = stored.groupBy("feature", "group").agg(F.sum("c").alias("k"))
     rest = m.features.select("feature").crossJoin(sizes).join(held, ["feature", "group"], "left").select("feature", "group", F.lit(float(m.fill)).alias("value"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("c"))
@@ -234,6 +245,29 @@ def exact_auc(m: SparseMatrix, groups: DataFrame, lfc: float = 0.0, ties: bool =
     return out.select(*keys, "n1", "n2", F.try_divide(F.col("u"), (F.col("n1") * F.col("n2")).cast("double")).alias("auc"), *["ties"] * ties)
 
 
+def _auc_by_columns(m: SparseMatrix, groups: DataFrame, sizes: list[tuple], ties: bool) -> DataFrame:
+    """exact_auc() with a column of counts for each group: one sorted pass over the distinct values of a feature serves all pairs."""
+    k = range(len(sizes))
+    value = F.col("value").cast("double").alias("value")
+    stored = m.cells.where(F.col("value") != m.fill).join(groups, "sample").groupBy("feature", value).agg(*(F.count_if(F.col("group") == g).alias(f"c{i}") for i, (g, _) in enumerate(sizes)))
+    held = stored.groupBy("feature").agg(*(F.sum(f"c{i}").alias(f"h{i}") for i in k))
+    rest = m.features.select("feature").join(held, "feature", "left").select("feature", F.lit(float(m.fill)).alias("value"), *((F.lit(n) - F.coalesce(f"h{i}", F.lit(0))).alias(f"c{i}") for i, (_, n) in enumerate(sizes)))
+    below = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    at = stored.unionByName(rest).withColumns({f"b{i}": F.coalesce(F.sum(f"c{i}").over(below), F.lit(0)) for i in k})
+    pairs = [(i, j) for i in k for j in k if i != j]
+    t = {(i, j): (F.col(f"c{i}") + F.col(f"c{j}")).cast("double") for i, j in pairs}
+    sums = [F.sum(F.col(f"c{i}") * (F.col(f"b{j}") + F.col(f"c{j}") / 2.0)).alias(f"u{i}_{j}") for i, j in pairs]
+    sums += [F.sum(t[i, j] * t[i, j] * t[i, j] - t[i, j]).alias(f"t{i}_{j}") for i, j in pairs if ties and i < j]
+    rows = [
+        F.struct(
+            F.lit(sizes[i][0]).alias("first"), F.lit(sizes[j][0]).alias("second"), F.lit(sizes[i][1]).cast("long").alias("n1"), F.lit(sizes[j][1]).cast("long").alias("n2"),
+            (F.col(f"u{i}_{j}") / float(sizes[i][1] * sizes[j][1])).alias("auc"), *[F.col(f"t{min(i, j)}_{max(i, j)}").alias("ties")] * ties,
+        )
+        for i, j in pairs
+    ]
+    return at.groupBy("feature").agg(*sums).select("feature", F.explode(F.array(*rows)).alias("one")).select("feature", "one.*")
+
+
 def pairing_frame(m: SparseMatrix, pairings) -> DataFrame:
     """(first, second): ordered pairs of a list of groups, of two lists (each of the first with each of the second), or of a
     frame or list of pairs."""

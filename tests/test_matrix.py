@@ -173,3 +173,12 @@ def test_scores_with_and_without_all_pairs(spark):
     blocks = spark.createDataFrame([(j, j % 2) for j in range(N)], "sample int, block int")
     c = markers.score_markers(m, g, blocks=blocks, true_auc=True).toPandas()
     assert len(c) == 3 * G and c["mean_auc"].between(0, 1).all()
+
+
+def test_both_ways_to_the_exact_auc(spark, monkeypatch):
+    for fill in (0.0, 1.0):
+        m, g = matrix(spark, dense(4, fill), fill), groups(spark, ["a"] * 9 + ["b"] * 11 + [None] * 4 + ["c"] * 6)
+        by_columns = sorted(map(tuple, markers.exact_auc(m, g, ties=True).collect()))
+        with monkeypatch.context() as mp:
+            mp.setattr(markers, "MAX_COLUMNS", 0)
+            assert by_columns == sorted(map(tuple, markers.exact_auc(m, g, ties=True).collect()))
