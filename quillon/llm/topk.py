@@ -1,8 +1,10 @@
 """Exact top-k search: tiled integer matrix products, selection within each tile, tree merging of the lists.
 
-Vectors are quantised to floor(scale * x). Blocks of queries meet blocks of candidates in the cells of a grid: a cell
-multiplies one group of query blocks with one group of shard blocks, tile by tile, and keeps the k best of each query.
-The lists of a query are then merged in rounds, a few at a time, until one is left. Every score is computed.
+Vectors are quantised to floor(scale * x) and packed in blocks, as 16-bit numbers where they fit. Groups of query blocks meet
+groups of shard blocks in the cells of a grid, which are dealt out to tasks; a query block is sent once to each group of
+shards, a shard once to each group of queries. Within a cell each pair of blocks is a tile: one matrix product, of which
+the k best of each query are kept. The lists of a query are then merged in rounds, a few at a time, until one is left.
+Every score is computed.
 
 Nulls: rows with a null id, a null vector, or a null or non-finite component take no part. Vectors of unequal length are
 padded with zeros. A query's own row is every row with its id. Repeated candidate rows count each; of repeated query
@@ -17,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import shared
 
-#: Vectors in a block; blocks of a group: a cell holds one group of queries and reads its shard group block by block.
+#: Vectors in a block, and the most blocks in a group.
 BLOCK, GROUP = 1024, 16
 FAN_IN = 8
 _EXACT = 1 << 53
@@ -46,7 +48,7 @@ def _floor(x):
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows packed in blocks, in the order of ids: ids, vectors (row-major doubles) and their length."""
+    """Rows packed in blocks, in the order of ids: ids, vectors row by row, and their length."""
 
     def packed(rows: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
         rows.sort(key=lambda r: r[0])
@@ -54,7 +56,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mat = np.zeros((len(rows), dim))
         for k, (_, v) in enumerate(rows):
             mat[k, : len(v)] = v
-        return pd.DataFrame({"ids": [np.array([r[0] for r in rows], np.int64).tobytes()], "mat": [mat.tobytes()], "dim": [dim]})
+        return pd.DataFrame({"ids": [np.array([r[0] for r in rows], np.int64).tobytes()], "mat": [mat.astype(np.int16).tobytes() if np.abs(mat).max(initial=0) < 1 << 15 else mat.tobytes()], "dim": [dim]})
 
     held: list[tuple[int, np.ndarray]] = []
     for b in batches:
@@ -68,7 +70,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _unpacked(ids: bytes, mat: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(mat, np.float64).reshape(len(i), dim)
+    return i, np.frombuffer(mat, np.int16 if len(mat) == 2 * len(i) * dim else np.float64).reshape(len(i), dim).astype(np.float64)
 
 
 def best_of_tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,15 +120,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     numbered = F.monotonically_increasing_id()
     shards = shared.written(quantised(vectors, id_col, vec_col, scale).mapInPandas(_blocks, block).withColumn("no", numbered), "topk-shards")
     queries = shared.written(asking.mapInPandas(_blocks, block), "topk-queries")
-    groups = max(1, math.ceil(shards.count() / GROUP))
-    # Each query block goes once to each group of shards; a row of the join is one tile.
-    left = queries.select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"))
-    right = shards.withColumn("cell", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int"))
-    # The shards of a cell keep their places in it, 0 to 15 or a few more: the leaves of the tree.
-    right = right.withColumn("slot", F.row_number().over(Window.partitionBy("cell").orderBy("no")) - 1)
+    n_shards, n_blocks, n = shards.count(), queries.count(), shared.partitions(spark)
+    side = min(GROUP, max(1, math.isqrt(n_shards * n_blocks // (2 * n))))  # smaller cells where there are few tiles for the tasks
+    groups, query_groups = max(1, math.ceil(n_shards / side)), max(1, math.ceil(n_blocks / side))
+
+    def each(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    # A shard's number tells its lists apart: the leaves of the tree.
+    right = shards.withColumnRenamed("no", "slot").withColumn("cell", F.pmod(F.xxhash64("slot"), F.lit(groups)).cast("int")).withColumn("asked", each(query_groups))
+    left = queries.select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("ids"), F.lit(query_groups)).cast("int").alias("asked"))
+    left = left.withColumn("cell", each(groups))
     shared.small_batches(spark, 4)
-    tiles = left.join(right, "cell").select("cell", "slot", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")
-    lists = tiles.repartition(shared.partitions(spark)).mapInPandas(_cell(k), "query_id long, cell int, slot int, worse long, vec_id long")
+    tiles = left.join(right, ["cell", "asked"]).select("cell", "slot", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")
+    lists = tiles.mapInPandas(_cell(k), "query_id long, cell int, slot long, worse long, vec_id long")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
     lists = lists.groupBy("query_id", "cell", "slot").agg(F.collect_list(F.struct("worse", "vec_id")).alias("best"))
     lists = lists.groupBy("query_id", "cell").agg(best)  # at most the shards of a cell, k entries each
