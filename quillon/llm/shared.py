@@ -174,6 +174,22 @@ def word_spans(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray,
     return edge[0::2], edge[1::2]
 
 
+def word_hashes(texts: pa.ChunkedArray, limit: int = CHUNK_BYTES // 4) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, in order, and the number of words of each text. Works on about limit bytes at a time, so
+    that it needs little beside the hashes."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    hashes, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        data, starts, _ = joined(texts.slice(at, to - at))
+        a, e = word_spans(data)
+        hashes.append(span_hash(data, a, e))
+        counts.append(np.bincount(np.searchsorted(starts, a, side="right") - 1, minlength=to - at))
+        at = to
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 # --- labelled samples -----------------------------------------------------------------------
 
 

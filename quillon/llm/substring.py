@@ -1,13 +1,13 @@
 """Substring dedup: word windows that also start in a document with a smaller id are removed, found level by level.
 
-A window of ``window`` words (13) can only repeat if its halves do. So the first level looks at all windows of half the
-length, the next one only at windows of twice that length (clipped to ``window``) whose two halves repeat. A level is one
-exchange of hashes, cheap for the many of the first level (a few bytes each, false alarms allowed) and wide (96 bits)
-for the few that are left. A level without candidates ends the search.
+A window of ``window`` words (13) can only repeat if its halves do. So the first level looks at all windows of a short
+length, and each next one only at windows of twice that length (clipped to ``window``) whose two halves, which overlap where it
+is clipped, both repeat: 7 and 13 words, or 7, 13, 25 and 50. A level is one exchange of hashes, cheap while it only
+filters (a few bytes each, false alarms allowed) and wide (96 bits) in the last. A range without candidates sends nothing.
 
 Documents are first dealt into ranges of doc_id and written to a table bucketed by range, so that the levels need not
 move texts again. In a level, each range sends each of its distinct hashes once, packed by hash part; a part answers each range
-with one bit for each hash: seen in another range (first level), or in a range of smaller ids (last level). Within a
+with one bit for each hash: seen in another range (filters), or in a range of smaller ids (last level). Within a
 range, documents are compared directly. So what a hash costs does not depend on how many rows share it.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D. Windows are judged on the input. Nulls: a null text has no
@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from quillon.llm import shared
 
 NO_ID = -(1 << 63)
-WORDS_MAX_BITS = 60
+#: The first level's windows have at least this many words, and at most twice as many.
+SEED = 6
+MAX_BITS = 60
 
 
 # --- packing of sorted numbers --------------------------------------------------------------
@@ -58,53 +60,62 @@ def unpacked(blob: bytes) -> np.ndarray:
 # --- one range of documents -----------------------------------------------------------------
 
 
+def levels(window: int) -> list[int]:
+    """Lengths from the first level to the window, each at most twice the one before."""
+    out = [window]
+    while out[0] > 2 * SEED:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 class Range:
-    """The documents of a range in the order of ids, and the hashes of their windows."""
+    """The documents of a range in the order of ids, and the hashes of their windows at each level."""
 
-    def __init__(self, docs: pa.Table, half: int):
+    def __init__(self, docs: pa.Table, lengths: list[int]):
         self.docs = docs.sort_by([("key", "ascending"), ("text", "ascending")])
         key = self.docs.column("key").to_numpy()
         self.rank = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
-        data, starts, _ = shared.joined(self.docs.column("text"))
-        a, e = shared.word_spans(data)
-        self.doc = np.searchsorted(starts, a, side="right") - 1
-        self.words = np.bincount(self.doc, minlength=len(key))
-        self.left = (np.cumsum(self.words)[self.doc] - np.arange(len(a))) if len(a) else a  # words from here to the document's end
-        self.half = half
-        self.hash = self._grown(shared.span_hash(data, a, e), 1, half)
-
-    @staticmethod
-    def _doubled(h: np.ndarray, step: int, salt: int = 0) -> np.ndarray:
-        out = np.zeros_like(h)
-        if step < len(h):
-            out[:-step] = shared.pair(h[:-step], h[step:], salt)
-        return out
-
-    def _grown(self, h: np.ndarray, have: int, want: int) -> np.ndarray:
-        """Hashes of windows of the wanted length, from those of two overlapping ones of the length before."""
-        while have < want:
-            step = min(have, want - have)
-            h, have = self._doubled(h, step), have + step
-        return h
-
-    def short(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of windows of the first level, their distinct values (sorted) and each one's place among them."""
-        at = np.flatnonzero(self.left >= self.half)
-        values, place = np.unique(self.hash[at] >> np.uint64(64 - bits), return_inverse=True)
-        return at, values, place
-
-    def candidates(self, window: int, bits: int, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of windows whose halves both repeat, and the two parts of their wide hashes."""
-        at, values, place = self.short(bits)
-        again = answers | (np.bincount(place, minlength=len(values)) > 1)
-        repeats = np.zeros(len(self.doc) + window, bool)
-        repeats[at] = again[place]
-        at = np.flatnonzero((self.left >= window) & repeats[: len(self.doc)] & repeats[window - self.half : len(self.doc) + window - self.half])
-        a, b = self.hash[at], self.hash[at + window - self.half]
-        return at, shared.pair(a, b, 1), shared.pair(b, a, 2) >> np.uint64(32)
-
-    def distinct(self, at: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct wide hashes in order, each candidate's place among them, and the first document rank of each."""
+        h, self.words = shared.word_hashes(self.docs.column("text"))
+        self.doc = np.repeat(np.arange(len(key)), self.words)
+        self.left = np.cumsum(self.words)[self.doc] - np.arange(len(h))  # words from here to the document's end
+        self.lengths = lengths
+        have, self.hash = 1, []
+        for want in lengths:
+            while have < want:  # two overlapping windows of one length make one of up to twice that
+                step = min(have, want - have)
+                longer = np.zeros_like(h)
+                if step < len(h):
+                    longer[:-step] = shared.pair(h[:-step], h[step:])
+                h, have = longer, have + step
+            self.hash.append(h)
+
+    def _values(self, level: int, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct short hashes of windows (sorted) and each window's place among them."""
+        return np.unique(self.hash[level][at] >> np.uint64(64 - bits), return_inverse=True)
+
+    def candidates(self, level: int, bits: int, cuts, replies: pa.Table | None) -> np.ndarray:
+        """Positions of the windows of a level whose halves both repeat, by the answers to the levels before."""
+        n = len(self.doc)
+        at = np.flatnonzero(self.left >= self.lengths[0])
+        for k in range(level):
+            values, place = self._values(k, at, bits)
+            again = _answers(replies, k, cuts(values)) | (np.bincount(place, minlength=len(values)) > 1)
+            step = self.lengths[k + 1] - self.lengths[k]
+            repeats = np.zeros(n + step, bool)
+            repeats[at] = again[place]
+            at = np.flatnonzero((self.left >= self.lengths[k + 1]) & repeats[:n] & repeats[step:])
+        return at
+
+    def short(self, level: int, bits: int, cuts, replies: pa.Table | None) -> np.ndarray:
+        return self._values(level, self.candidates(level, bits, cuts, replies), bits)[0]
+
+    def wide(self, bits: int, cuts, replies: pa.Table | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions at the last level; distinct wide hashes (two parts, in order), each window's place among them, and the first
+        document rank of each."""
+        at = self.candidates(len(self.lengths) - 1, bits, cuts, replies)
+        own = self.hash[-1][at]
+        other = self.hash[-2][at] if len(self.lengths) > 1 else own
+        high, low = shared.pair(own, other, 1), shared.pair(other, own, 2) >> np.uint64(32)
         order = np.lexsort((low, high))
         h, w = high[order], low[order]
         new = np.ones(len(h), bool)
@@ -113,7 +124,7 @@ class Range:
         place[order] = np.cumsum(new) - 1
         first = np.full(int(new.sum()), len(self.rank), np.int64)
         np.minimum.at(first, place, self.rank[self.doc[at]])
-        return h[new], w[new], place, first
+        return at, h[new], w[new], place, first
 
 
 def _parts(high: np.ndarray, shift: int, count: int) -> np.ndarray:
@@ -148,12 +159,17 @@ def _replied(level: int, ranges: np.ndarray, source: np.ndarray, flags: np.ndarr
     return pa.Table.from_pylist(rows, _REPLY)
 
 
+def _alone(f):
+    """f of one argument: Spark counts a function's arguments."""
+    return lambda docs: f(docs)
+
+
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """The rows of docs with n_words, n_removed and the text that is left (kept): columns row (the input row without its text),
     doc_id, kept, n_words, n_removed."""
     spark = docs.sparkSession
     n = shared.partitions(spark)
-    half = (window + 1) // 2
+    lengths = levels(window)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     table = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
     bounds = shared.range_bounds(table.select("key"), "key", max(64, 4 * n))
@@ -163,31 +179,37 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     table = spark.table(name)
 
     total = (table.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 + 1
-    bits = min(WORDS_MAX_BITS, total.bit_length() + 5)
+    bits = min(MAX_BITS, total.bit_length() + 5)
     parts_log = max(1, (n - 1).bit_length())
     count = 1 << parts_log
     mean_gap = float(1 << bits) / max(1.0, total / (len(bounds) + 1))
 
-    def first_level(docs: pa.Table) -> pa.Table:
-        _, values, _ = Range(docs, half).short(bits)
-        return _sent(docs.column("range")[0].as_py(), _parts(values, bits - parts_log, count), lambda a, b: packed(values[a:b] & np.uint64((1 << bits - parts_log) - 1), mean_gap))
-
-    def elsewhere(sent: pa.Table) -> pa.Table:
-        sent = sent.sort_by("range")
-        found = [unpacked(b) for b in sent.column("blob").to_pylist()]
-        values, source = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-        order = np.argsort(values, kind="stable")
-        same = values[order][1:] == values[order][:-1]
-        flags = np.zeros(len(values), bool)
-        flags[order[1:][same]] = flags[order[:-1][same]] = True
-        return _replied(1, sent.column("range").to_numpy(), source, flags, sent.column("part")[0].as_py())
-
-    def last_level(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def short_cuts(values: np.ndarray) -> np.ndarray:
+        return _parts(values, bits - parts_log, count)
+
+    def filtering(level: int):
+        def send(docs: pa.Table, replies: pa.Table | None = None) -> pa.Table:
+            if not docs.num_rows:
+                return _SENT.empty_table()
+            values = Range(docs, lengths).short(level, bits, short_cuts, replies)
+            return _sent(docs.column("range")[0].as_py(), short_cuts(values), lambda a, b: packed(values[a:b] & np.uint64((1 << bits - parts_log) - 1), mean_gap))
+
+        def answer(sent: pa.Table) -> pa.Table:
+            sent = sent.sort_by("range")
+            found = [unpacked(b) for b in sent.column("blob").to_pylist()]
+            values, source = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+            order = np.argsort(values, kind="stable")
+            same = values[order][1:] == values[order][:-1]
+            flags = np.zeros(len(values), bool)
+            flags[order[1:][same]] = flags[order[:-1][same]] = True
+            return _replied(level, sent.column("range").to_numpy(), source, flags, sent.column("part")[0].as_py())
+
+        return send, answer
+
+    def last_level(docs: pa.Table, replies: pa.Table | None = None) -> pa.Table:
         if not docs.num_rows:
             return _SENT.empty_table()
-        r = Range(docs, half)
-        values = r.short(bits)[1]
-        high, low, _, _ = r.distinct(*r.candidates(window, bits, _answers(replies, 1, _parts(values, bits - parts_log, count))))
+        _, high, low, _, _ = Range(docs, lengths).wide(bits, short_cuts, replies)
         wide = np.empty(len(high), [("high", "<u8"), ("low", "<u4")])
         wide["high"], wide["low"] = high, low
         return _sent(docs.column("range")[0].as_py(), _parts(high, 64 - parts_log, count), lambda a, b: wide[a:b].tobytes())
@@ -200,7 +222,7 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         h, w = wide["high"][order], wide["low"][order]
         flags = np.zeros(len(wide), bool)
         flags[order[1:]] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])  # not the first range of this hash
-        return _replied(2, sent.column("range").to_numpy(), source, flags, sent.column("part")[0].as_py())
+        return _replied(len(lengths) - 1, sent.column("range").to_numpy(), source, flags, sent.column("part")[0].as_py())
 
     row_type = next(f for f in table.schema if f.name == "row").dataType
     result = T.StructType([T.StructField("row", row_type), T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -208,11 +230,9 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     def removed(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"row": docs.column("row"), "doc_id": docs.column("key"), "kept": docs.column("text"), "n_words": docs.column("key"), "n_removed": docs.column("key")})
-        r = Range(docs, half)
-        values = r.short(bits)[1]
-        at, high, low = r.candidates(window, bits, _answers(replies, 1, _parts(values, bits - parts_log, count)))
-        high, low, place, first = r.distinct(at, high, low)
-        gone = at[_answers(replies, 2, _parts(high, 64 - parts_log, count))[place] | (r.rank[r.doc[at]] > first[place])]
+        r = Range(docs, lengths)
+        at, high, low, place, first = r.wide(bits, short_cuts, replies)
+        gone = at[_answers(replies, len(lengths) - 1, _parts(high, 64 - parts_log, count))[place] | (r.rank[r.doc[at]] > first[place])]
         edge = np.zeros(len(r.doc) + window + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
@@ -226,8 +246,10 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         key = r.docs.column("key").to_numpy()
         return pa.table({"row": r.docs.column("row"), "doc_id": pa.array(key, mask=key == NO_ID), "kept": pa.array(texts, pa.string()), "n_words": pa.array(r.words), "n_removed": pa.array(lost)})
 
-    by_range = table.groupBy("range")
-    replies = shared.written(by_range.applyInArrow(first_level, SENT).groupBy("part").applyInArrow(elsewhere, REPLY), "windows-first")
-    sent = by_range.cogroup(replies.groupBy("range")).applyInArrow(last_level, SENT)
-    replies = replies.unionAll(shared.written(sent.groupBy("part").applyInArrow(before, REPLY), "windows-last"))
+    by_range, replies = table.groupBy("range"), None
+    for level, length in enumerate(lengths):
+        send, answer = filtering(level) if level < len(lengths) - 1 else (last_level, before)
+        sent = by_range.applyInArrow(_alone(send), SENT) if replies is None else by_range.cogroup(replies.groupBy("range")).applyInArrow(send, SENT)
+        found = shared.written(sent.groupBy("part").applyInArrow(answer, REPLY), f"windows-{length}")
+        replies = found if replies is None else replies.unionAll(found)
     return by_range.cogroup(replies.groupBy("range")).applyInArrow(removed, result)

@@ -45,6 +45,13 @@ def test_few_words_many_repeats(spark):
     check(spark, [(i, cases.words(rng, rng.randrange(0, 40), 2), "en", "a") for i in range(60)], 2)
 
 
+def test_lengths_double(spark):
+    assert substring.levels(13) == [7, 13] and substring.levels(50) == [7, 13, 25, 50] and substring.levels(3) == [3]
+    rng = random.Random(10)
+    long, short = cases.words(rng, 70), cases.words(rng, 30)
+    check(spark, [(i, f"{cases.words(rng, 25)} {long if i % 2 else short} {cases.words(rng, 25)}", "en", "a") for i in range(40)], 50)
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rng = random.Random(9)
     same = cases.words(rng, 50)
