@@ -56,7 +56,7 @@ def set_of(spark: SparkSession, d: str, axis: str) -> DataFrame:
     """Two overlapping sets, of parts or of suppliers."""
     if axis == "feature":
         dim = table(spark, d, "part")
-        sets = {"large": dim.where("p_size >= 25").select("p_partkey"), "dear": dim.where("p_retailprice >= 950").select("p_partkey")}
+        sets = {"large": dim.where("p_size >= 25").select("p_partkey"), "dear": dim.where("p_retailprice >= 905").select("p_partkey")}
     else:
         dim = table(spark, d, "supplier")
         sets = {"rich": dim.where("s_acctbal >= 0").select("s_suppkey"), "early": dim.where("s_nationkey < 12").select("s_suppkey")}
@@ -134,7 +134,7 @@ _BH_SQL = _BH.format(e=R("effect"), p=R("p"), f=R("fdr"))
 
 
 #: Sets are listed in the order of their names, as the columns are.
-_PART_SETS = {"dear": "feature IN (SELECT p_partkey FROM part WHERE p_retailprice >= 950)", "large": "feature IN (SELECT p_partkey FROM part WHERE p_size >= 25)"}
+_PART_SETS = {"dear": "feature IN (SELECT p_partkey FROM part WHERE p_retailprice >= 905)", "large": "feature IN (SELECT p_partkey FROM part WHERE p_size >= 25)"}
 _SUPPLIER_SETS = {"early": "sample IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)", "rich": "sample IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"}
 
 
@@ -178,7 +178,8 @@ c AS (SELECT a.feature AS f1, b.feature AS f2, sum(a.v * b.v) AS p FROM dense a
 SELECT f1 AS feature1, f2 AS feature2, {r} AS rho FROM c JOIN s x ON x.feature = f1 JOIN s y ON y.feature = f2"""
 _RHO = R("CASE WHEN (x.q - x.s * x.s / x.n) * (y.q - y.s * y.s / y.n) > 0 THEN (p - x.s * y.s / x.n) / sqrt((x.q - x.s * x.s / x.n) * (y.q - y.s * y.s / y.n)) END")
 
-_EFFECT = """(mean1 - mean2) / sqrt(greatest((var1 + var2) / 2, 1e-8)) AS cohen, (mean1 - mean2) / sqrt(greatest(var1 / n1 + var2 / n2, 1e-8)) AS z, mean1 - mean2 AS delta_mean,
+_EFFECT = """CASE WHEN var1 + var2 IS NOT NULL THEN (mean1 - mean2) / sqrt(greatest((var1 + var2) / 2, 1e-8)) END AS cohen,
+  CASE WHEN var1 + var2 IS NOT NULL THEN (mean1 - mean2) / sqrt(greatest(var1 / n1 + var2 / n2, 1e-8)) END AS z, mean1 - mean2 AS delta_mean,
   log2((det1 + 0.5::DOUBLE) / (n1 + 1)) - log2((det2 + 0.5::DOUBLE) / (n2 + 1)) AS lfc_detected"""
 _EFFECTS = f"""{_PAIRS}{_NODES}, e0 AS (SELECT feature, first, second, {_EFFECT} FROM p),
 e AS (SELECT feature, first, second, any_value(cohen) AS cohen, 0.5::DOUBLE + any_value(z) / 600 * sum(w * exp(-(z * i / 200) * (z * i / 200) / 2)) / sqrt(2 * pi()) AS auc, any_value(delta_mean) AS delta_mean, any_value(lfc_detected) AS lfc_detected FROM e0 CROSS JOIN nodes GROUP BY 1, 2, 3)"""
