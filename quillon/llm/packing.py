@@ -34,14 +34,14 @@ CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s
 
 class Ids:
     """Ids of texts as little-endian bytes. A byte-level BPE vocabulary whose ids are in the order of its merges is handed to the
-    faster of the two libraries that take it, which gives the same ids; any other is used as it is. Strings of special
-    tokens in a text are ordinary text."""
+    faster of the two libraries that take it, which gives the same ids; any other is used as it is. Added tokens that stand
+    in a text have their own ids: texts with one go to the library that knows them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = self._fast()
 
     def _fast(self):
@@ -63,7 +63,7 @@ class Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.fast:
-            return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if any(a in t for a in self.added) else self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 

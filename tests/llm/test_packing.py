@@ -22,6 +22,17 @@ def test_ids_of_both_libraries_agree(path):
     assert fast.fast is not None and fast.encode(texts) == slow.encode(texts)
 
 
+def test_added_tokens_in_texts_have_their_ids(spark, path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "no such token", "<|endoftext|><|endoftext|> é\n", "<|endoftext|"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.Ids(path).encode(texts) == want and np.frombuffer(want[0], "<u4").tolist() == [64, 50256, 65]
+    got = packing.packed(cases.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), path).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == {i: zlib.crc32(w + packing.END) for i, w in enumerate(want)}
+
+
 def brute_best_fit(lengths, size):
     """The number of sequences of best-fit decreasing, piece by piece."""
     rooms = []
