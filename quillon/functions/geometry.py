@@ -1,4 +1,5 @@
-"""Planar predicates as column expressions. A polygon is an array of {x, y} vertices; borders belong to it."""
+"""Planar predicates as column expressions. A polygon is an array of {x, y} vertices; borders belong to it. With holes it is its
+rings one after another, each closed and followed by a vertex of nulls; no edge leads to or from such a vertex."""
 
 from __future__ import annotations
 
@@ -26,12 +27,21 @@ def to_wkb(ring: list[tuple[float, float]]) -> bytes:
     return struct.pack("<BIII", 1, 3, 1, len(closed)) + b"".join(struct.pack("<dd", *p) for p in closed)
 
 
-def from_wkb(data: bytes) -> list[tuple[float, float]]:
+def from_wkb(data: bytes) -> list[tuple[float | None, float | None]]:
+    """The ring of a polygon, without its closing vertex. If it has holes: all rings, each closed and followed by a vertex of
+    nulls, so that no edge leads from one to the next."""
     order = "<" if data[0] else ">"
-    kind, rings, n = struct.unpack_from(f"{order}III", data, 1)
-    if kind != 3 or rings < 1:
+    kind, count = struct.unpack_from(f"{order}II", data, 1)
+    if kind != 3 or count < 1:
         raise ValueError("a polygon is needed")
-    ring = [struct.unpack_from(f"{order}dd", data, 13 + 16 * k) for k in range(n)]
+    rings, at = [], 9
+    for _ in range(count):
+        (n,) = struct.unpack_from(f"{order}I", data, at)
+        rings.append([struct.unpack_from(f"{order}dd", data, at + 4 + 16 * k) for k in range(n)])
+        at += 4 + 16 * n
+    if count > 1:
+        return [v for ring in rings if ring for v in (*ring, *ring[: ring[0] != ring[-1]], (None, None))]
+    ring = rings[0]
     return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
 
 

@@ -213,3 +213,14 @@ def test_a_stream_writes_each_batch_once(spark, tmp_path):
     sink = ingest.parts_sink(str(tmp_path / "out"))
     sink(spark.range(10, 20), 1)  # delivered again
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
+
+
+def test_stored_polygons_keep_their_holes(spark, tmp_path):
+    import struct
+
+    outer, hole = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0), (3.0, 3.0)]
+    for order, flag in (("<", 1), (">", 0)):
+        wkb = struct.pack("B", flag) + struct.pack(f"{order}II", 3, 2) + b"".join(struct.pack(f"{order}I", len(r)) + b"".join(struct.pack(f"{order}dd", *p) for p in r) for r in (outer, hole))
+        spark.createDataFrame([("a", bytearray(wkb))], "instance_id string, geometry binary").write.parquet(path := f"{tmp_path}/{flag}")
+        points = spark.createDataFrame([(1, 1.0, 1.0), (2, 4.0, 5.0), (3, 3.0, 4.0), (4, 9.5, 1.0), (5, 7.0, 4.5), (6, 1.5, 1.5)], "id int, x double, y double")
+        assert {r["id"] for r in spatial.spatial_join(points, spatial.read_geo_layer(spark, path)).collect()} == {1, 3, 5, 6}
