@@ -250,7 +250,7 @@ def _entries() -> dict:
         "cv2_raw": (lambda s, d: rounded(variance.cv2(moments.normalized_moments(sales(s, d))).select("feature", "mean", "total")), f"{SALES}{raw_x} SELECT feature, {R('avg(v)')} AS mean, {R('var_samp(v) / nullif(avg(v) * avg(v), 0)')} AS total FROM x GROUP BY 1"),
         "var_decomposition": (lambda s, d: rounded(variance.model_gene_var(normalize.normalized(sales(s, d)))), None),
         "var_decomposition_blocked": (lambda s, d: rounded(variance.model_gene_var(normalize.normalized(sales(s, d)), blocks(s, d))), None),
-        "var_poisson": (lambda s, d: rounded(variance.model_gene_var_by_poisson(sales(s, d), points=200)), None),
+        "var_poisson": (lambda s, d: rounded(variance.model_gene_var_by_poisson(sales(s, d))), None),
         "var_cv2": (lambda s, d: rounded(variance.model_gene_cv2(sales(s, d))), None),
         "ttest_stats": (lambda s, d: rounded(welch(embed(s, d), labels_of(s, d)).select(*t_columns, "delta", "err2", "df"), 5), f"{embed_group}{_PAIRS}{_T} SELECT feature, first, second, {R('delta', 5)} AS delta, {R('err2', 5)} AS err2, {R('df', 5)} AS df FROM tt"),
         "ttest_cohen": (lambda s, d: rounded(markers.pairwise_t_tests(embed(s, d), labels_of(s, d), std_lfc=True, log_p=True).select(*t_columns, "effect")), f"{embed_group}{_PAIRS} SELECT feature, first, second, {R('(mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2))')} AS effect FROM p"),

@@ -115,17 +115,23 @@ def fit_trend_cv2(mean: np.ndarray, cv2: np.ndarray, min_mean: float = 0.1, knot
     return Trend(np.exp(at), fitted * scale, float(np.median(np.abs(ratio - 1)) * 1.4826) or 1e-8)
 
 
-def poisson_points(means: np.ndarray, size_factors: np.ndarray, points: int, dispersion: float, pseudo_count: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means and variances of log values of simulated counts, at log-spaced means over the range of the given ones."""
+def poisson_means(means: np.ndarray, points: int, pseudo_count: float) -> np.ndarray:
+    """Log-spaced means of counts over the range of the given means of log values."""
     good = means[np.isfinite(means) & (means > 0)]
     if not len(good):
-        return np.zeros(0), np.zeros(0)
+        return np.zeros(0)
     low, high = (float(np.clip(2.0**x - pseudo_count, 1e-8, 1e6)) for x in (good.min(), good.max()))
+    return np.exp(np.linspace(np.log(low), np.log(high), points))
+
+
+def poisson_moments(mu: np.ndarray, size_factors: np.ndarray, dispersion: float, pseudo_count: float, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sum of squared deviations of log values of simulated counts, one for each size factor, at each mean."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    mu = np.exp(np.linspace(np.log(low), np.log(high), points))
-    var = np.empty(points)
+    mean, m2 = np.empty(len(mu)), np.empty(len(mu))
     for i, x in enumerate(mu):
         rate = x * size_factors
         counts = rng.poisson(rate if dispersion <= 0 else rng.gamma(1 / dispersion, rate * dispersion))
-        var[i] = np.var(np.log2(counts / size_factors + pseudo_count), ddof=1)
-    return np.log2(mu + pseudo_count), var
+        values = np.log2(counts / size_factors + pseudo_count)
+        mean[i] = values.mean()
+        m2[i] = ((values - mean[i]) ** 2).sum()
+    return mean, m2

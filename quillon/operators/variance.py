@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels as K
-from quillon.functions.trend import NONE, Trend, fit_trend_cv2, fit_trend_var, poisson_points
+from quillon.functions.trend import NONE, Trend, fit_trend_cv2, fit_trend_var, poisson_means, poisson_moments
 from quillon.operators import normalize
 from quillon.operators.markers import bh, capped
 from quillon.operators.moments import moments
 from quillon.plans.matrix import SparseMatrix
 
-#: Features and size factors that a trend is fitted on; of more, those with the smallest hashes.
+#: Features that a trend is fitted on; of more, those with the smallest hashes.
 MAX_FIT = 100_000
+#: Size factors for which counts are simulated in one task.
+GROUP = 10_000
 
 
 def _sample(df: DataFrame, key: str, n: int = MAX_FIT) -> DataFrame:
@@ -96,15 +98,37 @@ def model_gene_var(m: SparseMatrix, blocks: DataFrame | None = None, subset_fit=
     return _finished(_over_blocks(done, blocks is not None, equiweight, method, False), False)
 
 
+def _simulated(factors: DataFrame, means: np.ndarray, points: int, dispersion: float, pseudo_count: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of log values of simulated counts: at each point one count for every size factor. Groups of about
+    GROUP factors are simulated in parallel and their moments merged; groups go by hashes, so partitions don't matter."""
+    mu = poisson_means(means, points, pseudo_count)
+    if not len(mu):
+        return mu, mu
+    groups = -(-factors.count() // GROUP)
+
+    def run(key, rows):
+        sf = rows.sort_values(["hash", "size_factor"])["size_factor"].to_numpy(float)
+        mean, m2 = poisson_moments(mu, sf, dispersion, pseudo_count, [seed, int(key[0])])
+        return pd.DataFrame({"point": np.arange(len(mu)), "n": float(len(sf)), "mean": mean, "m2": m2})
+
+    dealt = factors.select(F.xxhash64("sample").alias("hash"), "size_factor").withColumn("group", F.pmod("hash", F.lit(max(groups, 1))))
+    parts = dealt.groupBy("group").applyInPandas(run, "point int, n double, mean double, m2 double")
+    n, s = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
+    total = parts.groupBy("point").agg(F.try_divide(F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - s * s / n, n - 1).alias("var"))
+    var = np.full(len(mu), np.nan)
+    for r in total.where("var IS NOT NULL").collect():  # one row for each point
+        var[r["point"]] = r["var"]
+    return np.log2(mu + pseudo_count), var
+
+
 def model_gene_var_by_poisson(m: SparseMatrix, size_factors: DataFrame | None = None, blocks: DataFrame | None = None, points: int = 1000, dispersion: float = 0.0, pseudo_count: float = 1.0, equiweight: bool = True, method: str = "fisher", seed: int = 1) -> DataFrame:
     """As model_gene_var(), of counts: they are log-normalised, and the trend is that of simulated Poisson (or, with a
     dispersion, negative binomial) counts, one for all blocks. Size factors are centred for both."""
     factors = normalize.library_size_factors(m) if size_factors is None else normalize.centred(size_factors)
     stats = _stats(normalize.normalized(m, factors, pseudo_count=pseudo_count, center=False), blocks)
-    sf = _sample(factors.where("size_factor > 0"), "sample", 10_000).toPandas()["size_factor"].to_numpy(float)
     ends = stats.where("mean > 0").agg(F.min("mean").alias("low"), F.max("mean").alias("high")).first()
     means = np.array([x for x in ends if x is not None], float)
-    fit = fit_trend_var(*poisson_points(means, sf, points, dispersion, pseudo_count, seed), min_mean=0.0)
+    fit = fit_trend_var(*_simulated(factors.where("size_factor > 0"), means, points, dispersion, pseudo_count, seed), min_mean=0.0)
     blocked = blocks is not None
     fits = {b: fit for b in ([r["block"] for r in stats.select("block").distinct().collect()] if blocked else [None])}
     done = _decomposed(stats.withColumnRenamed("var", "total"), fits, blocked, False)

@@ -182,3 +182,18 @@ def test_both_ways_to_the_exact_auc(spark, monkeypatch):
         with monkeypatch.context() as mp:
             mp.setattr(markers, "MAX_COLUMNS", 0)
             assert by_columns == sorted(map(tuple, markers.exact_auc(m, g, ties=True).collect()))
+
+
+def test_poisson_trend_takes_every_size_factor(spark):
+    ids = spark.range(12_000).select(F.col("id").alias("sample"))
+    low = ids.orderBy(F.xxhash64("sample").desc()).limit(2000).withColumn("size_factor", F.lit(0.01))  # a sample by hash would leave them out
+    factors = ids.join(low, "sample", "left").fillna(1.0, "size_factor").localCheckpoint()
+    cells = ids.crossJoin(spark.range(4).select(F.col("id").alias("feature"))).withColumn("value", (F.col("feature") * 10 + 1 + F.col("sample") % 3).cast("double"))
+    m = SparseMatrix.attach(cells, cells.select("feature").distinct(), ids, "feature", "sample", "value")
+    out = variance.model_gene_var_by_poisson(m, factors, points=40).toPandas()
+    sf = factors.toPandas()["size_factor"].to_numpy()
+    sf = sf / sf.mean()
+    r = np.random.default_rng(5)
+    for mean, tech in zip(out["mean"], out["tech"]):
+        want = np.log2(r.poisson((2.0**mean - 1) * sf) / sf + 1).var(ddof=1)
+        assert abs(tech / want - 1) < 0.35, (mean, tech, want)
