@@ -14,20 +14,14 @@ from quillon.operators.markers import bh, capped
 from quillon.operators.moments import moments
 from quillon.plans.matrix import SparseMatrix
 
-#: Features that a trend is fitted on; of more, those with the smallest hashes.
-MAX_FIT = 100_000
 #: Size factors for which counts are simulated in one task.
 GROUP = 10_000
 
 
-def _sample(df: DataFrame, key: str, n: int = MAX_FIT) -> DataFrame:
-    return df.orderBy(F.xxhash64(key), key).limit(n)
-
-
 def _fits(stats: DataFrame, blocked: bool, fit) -> dict:
-    """A trend for each block (None: all). Collects at most MAX_FIT features of a block."""
+    """A trend for each block (None: all), fitted on all its features: two numbers for each are collected, block by block."""
     if not blocked:
-        rows = _sample(stats.where("n >= 2"), "feature").select("mean", "var").toPandas()
+        rows = stats.where("n >= 2").select("mean", "var").toPandas().sort_values(["mean", "var"])
         return {None: fit(rows["mean"].to_numpy(float), rows["var"].to_numpy(float)) if len(rows) else NONE}
     blocks = [r["block"] for r in stats.where("n >= 2").select("block").distinct().collect()]
     return {b: _fits(stats.where(F.col("block") == b), False, fit)[None] for b in blocks}

@@ -197,3 +197,14 @@ def test_poisson_trend_takes_every_size_factor(spark):
     for mean, tech in zip(out["mean"], out["tech"]):
         want = np.log2(r.poisson((2.0**mean - 1) * sf) / sf + 1).var(ddof=1)
         assert abs(tech / want - 1) < 0.35, (mean, tech, want)
+
+
+@pytest.mark.parametrize("fit", [trend.fit_trend_var, trend.fit_trend_cv2])
+def test_trends_are_fitted_on_all_features(spark, fit):
+    mean = F.col("id") % 997 / 125 + 0.2
+    var = F.col("mean") * (1 + F.col("id") % 13 / 10) * F.when(F.xxhash64("id") > (1 << 62), 3).otherwise(1)  # a sample by hash would leave these out
+    stats = spark.range(140_000).withColumn("mean", mean).select(F.col("id").alias("feature"), F.lit(10).alias("n"), "mean", var.alias("var")).localCheckpoint()
+    rows = stats.toPandas()
+    (got,) = variance._fits(stats, False, fit).values()
+    want = fit(rows["mean"], rows["var"])
+    assert len(got.knots) == len(want.knots) and np.allclose(got.values, want.values) and np.isclose(got.std_dev, want.std_dev)
