@@ -69,3 +69,31 @@ def contains(shape: Column, x: Column, y: Column) -> Column:
 
     hits = F.aggregate(F.transform(shape, edge), F.lit(0), lambda a, b: a + b)
     return (hits >= 1 << 20) | (hits % 2 == 1)
+
+
+def intersects(shape: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a polygon and that of the ring have a point in common: a vertex of one is in the other, or edges meet."""
+    xs, ys = zip(*ring, strict=True)
+    a, b, c, d = box(shape)
+    boxed = (b >= min(xs)) & (a <= max(xs)) & (d >= min(ys)) & (c <= max(ys))
+    edges = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*p, *q), strict=True))) for p, q in zip(ring, [*ring[1:], ring[0]], strict=True)))
+    n = F.size(shape)
+
+    def meets(p: Column, i: Column) -> Column:
+        q = F.element_at(shape, F.when(i == 0, n).otherwise(i).cast("int"))  # the vertex before
+
+        def meet(e: Column) -> Column:
+            def side(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+                return F.signum((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+
+            apart = (F.greatest(p["x"], q["x"]) < F.least(e["x0"], e["x1"])) | (F.least(p["x"], q["x"]) > F.greatest(e["x0"], e["x1"])) | (F.greatest(p["y"], q["y"]) < F.least(e["y0"], e["y1"])) | (F.least(p["y"], q["y"]) > F.greatest(e["y0"], e["y1"]))
+            own = side(p["x"], p["y"], q["x"], q["y"], e["x0"], e["y0"]) * side(p["x"], p["y"], q["x"], q["y"], e["x1"], e["y1"])
+            other = side(e["x0"], e["y0"], e["x1"], e["y1"], p["x"], p["y"]) * side(e["x0"], e["y0"], e["x1"], e["y1"], q["x"], q["y"])
+            return p["x"].isNotNull() & q["x"].isNotNull() & ~apart & (own <= 0) & (other <= 0)
+
+        return F.coalesce(F.exists(edges, meet), F.lit(False))
+
+    cross = F.exists(F.transform(shape, meets), lambda m: m)
+    held = F.exists(shape, lambda v: v["x"].isNotNull() & F.coalesce(contains(polygon(ring), v["x"], v["y"]), F.lit(False)))
+    holds = F.exists(polygon(ring), lambda v: contains(shape, v["x"], v["y"]))
+    return F.coalesce(boxed, F.lit(False)) & (held | cross | holds)

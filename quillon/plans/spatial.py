@@ -261,10 +261,11 @@ def subset_by_box(x: SpatialExperiment, x_min: float, x_max: float, y_min: float
 
 
 def subset_by_polygon(x: SpatialExperiment, shape: str | list, x_col: str = "x", y_col: str = "y", keep_unmapped: bool = False) -> SpatialExperiment:
-    """Points in the polygon; shapes with a vertex in it."""
-    ring = G.polygon(G.parse_wkt(shape) if isinstance(shape, str) else shape)
+    """Points in the polygon; shapes that have a point in common with it."""
+    own = G.parse_wkt(shape) if isinstance(shape, str) else shape
+    ring = G.polygon(own)
     points = {n: p.where(G.contains(ring, F.col(x_col), F.col(y_col))) for n, p in x.points.items()}
-    shapes = {n: s.where(F.exists("geometry", lambda v: G.contains(ring, v["x"], v["y"]))) for n, s in x.shapes.items()}
+    shapes = {n: s.where(G.intersects(F.col("geometry"), own)) for n, s in x.shapes.items()}
     return _retained(x, points, shapes, keep_unmapped)
 
 

@@ -224,3 +224,15 @@ def test_stored_polygons_keep_their_holes(spark, tmp_path):
         spark.createDataFrame([("a", bytearray(wkb))], "instance_id string, geometry binary").write.parquet(path := f"{tmp_path}/{flag}")
         points = spark.createDataFrame([(1, 1.0, 1.0), (2, 4.0, 5.0), (3, 3.0, 4.0), (4, 9.5, 1.0), (5, 7.0, 4.5), (6, 1.5, 1.5)], "id int, x double, y double")
         assert {r["id"] for r in spatial.spatial_join(points, spatial.read_geo_layer(spark, path)).collect()} == {1, 3, 5, 6}
+
+
+def test_polygon_subset_keeps_shapes_that_cross_or_hold_it(spark):
+    def box(x0, x1, y0, y1):
+        return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+    none = (None, None)
+    holed = [*box(-5.0, 9.0, -5.0, 9.0), (-5.0, -5.0), none, *box(-1.0, 5.0, -1.0, 5.0), (-1.0, -1.0), none]
+    rows = [("in", box(1.0, 2.0, 1.0, 2.0)), ("holds", box(-9.0, 9.0, -9.0, 9.0)), ("crosses", box(-9.0, 9.0, 1.0, 2.0)), ("touches", box(4.0, 6.0, 0.0, 1.0)), ("far", box(5.0, 6.0, 5.0, 6.0)), ("in its hole", holed)]
+    shapes = spark.createDataFrame(rows, f"instance_id string, geometry {G.POLYGON}")
+    got = spatial.subset_by_polygon(spatial.SpatialExperiment({}, None, None, shapes={"zones": shapes}), "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))").shapes["zones"]
+    assert {r["instance_id"] for r in got.collect()} == {"in", "holds", "crosses", "touches"}
