@@ -1,9 +1,9 @@
-"""Best-fit packing of token sequences in bulk-synchronous rounds.
+"""Best-fit packing of token sequences over a histogram of lengths.
 
 Texts are tokenised, ended with id 0 and, where longer than a sequence, cut into full pieces with a shorter first one.
 Pieces are sorted by length. As lengths are whole numbers up to the sequence length, the sorted pieces and the sorted
 gaps (room left in open sequences) are kept as runs of equal length: a round sweeps both lists, gives each run of
-pieces its successor run of gaps (the least room that suffices), settles conflicts by rank within the run, updates the
+pieces its successor run of gaps (the least room that suffices), in order of rank within the run, updates the
 gaps, and repeats with what is left; pieces without a gap open new sequences. The rounds need one number for each
 length, so they cost the same for any number of documents. What a round decides is a range of ranks within a length,
 a range of sequences and an offset; each piece finds its own by its rank, which is counted in parallel over salted
