@@ -13,8 +13,6 @@ from quillon.plans.matrix import SparseMatrix
 from quillon.sources import fields, files
 
 INDEX, NAME = "__index__", "__name__"
-#: Labels that are listed in the manifest itself.
-MAX_LABELS = 100_000
 
 
 def indexed(df: DataFrame, column: str = INDEX, offset: int = 0) -> DataFrame:
@@ -83,7 +81,7 @@ def write_array(
 ) -> dict:
     """Write a coordinate table of any number of axes: stored cells that aren't the fill value, sorted by the axes. grid: extents
     of blocks, one for each axis; each block is a hive partition <axis><suffix>=<n>. An append adds to the keys of one axis
-    (along) an offset, and to its block numbers a group offset."""
+    (along) an offset, and to its block numbers a group offset. labels: by axis, all listed in the manifest."""
     if not index_cols:
         raise ValueError("an array needs axes")
     out = cells.select(*index_cols, data_col).where(F.col(data_col).isNotNull())
@@ -102,7 +100,7 @@ def write_array(
     schema = [fields.field(out.schema[c]) for c in (*index_cols, data_col)]
     for f in schema:
         own = (labels or {}).get(f["name"])
-        if own is not None and len(own) <= MAX_LABELS:
+        if own is not None:
             f |= {"categories": [{"value": i, "label": [v]} for i, v in enumerate(own, 1)], "categoriesOrdered": True}
     made: dict = {"fields": schema, "foreignKeys": refs or [{"fields": c, "reference": {"fields": ""}} for c in index_cols]}
     if groups:

@@ -236,3 +236,12 @@ def test_polygon_subset_keeps_shapes_that_cross_or_hold_it(spark):
     shapes = spark.createDataFrame(rows, f"instance_id string, geometry {G.POLYGON}")
     got = spatial.subset_by_polygon(spatial.SpatialExperiment({}, None, None, shapes={"zones": shapes}), "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))").shapes["zones"]
     assert {r["instance_id"] for r in got.collect()} == {"in", "holds", "crosses", "touches"}
+
+
+def test_long_axes_keep_their_labels(spark, tmp_path):
+    from quillon.sources import writer
+
+    labels = [f"g{i}" for i in range(100_001)]
+    made = writer.write_array(spark.createDataFrame([(1, 2, 3.0)], "i long, j long, value double"), f"{tmp_path}/a", ["i", "j"], labels={"i": labels})
+    field = next(f for f in made["schema"]["fields"] if f["name"] == "i")
+    assert [c["label"][0] for c in field["categories"]] == labels
