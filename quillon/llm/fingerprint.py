@@ -8,7 +8,8 @@ their lengths: sorted, twelve hex digits a chunk. The likeness of one fingerprin
 chunks the other has too (containment weighted by length); that of two empty ones is 1, of an empty and another 0.
 
 All texts of an Arrow batch are hashed and cut together in numpy. To meet its next document, a row is dealt out by ranges of
-doc_id; the first document of each range also goes to the range before.
+doc_id of about equally many bytes (an id with more than that has several, by the first bytes of its texts); the first document of
+each range also goes to the range before.
 
 Nulls: a null text is empty; null ids come first. Ties of doc_id are ordered by text, and repeated rows are neighbours. A
 single document is its own next one. An empty table gives an empty result; other columns are ignored.
@@ -30,7 +31,8 @@ LEAST, NORMAL, MOST = 8, 32, 128
 HARD, EASY = np.uint32(0xFE000000), np.uint32(0xE0000000)
 GEAR = np.random.Generator(np.random.PCG64(1987)).integers(0, 1 << 32, 256, dtype=np.uint32)
 DIGEST_BITS = 40
-NO_ID = -(1 << 63)
+#: Bytes of text in a range at most, on average.
+RANGE_BYTES = 64 << 20
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -43,8 +45,13 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 def chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of all chunks; the texts advance together, a chunk of each at a time."""
-    h = gear_hash(data)
-    hard, easy = (np.append(np.flatnonzero((h & m) == 0) + 1, len(data) + MOST) for m in (HARD, EASY))
+    cuts: list[list[np.ndarray]] = [[], []]
+    for k in range(0, len(data), shared.SEGMENT):
+        lead = min(k, 7)
+        h = gear_hash(data[k - lead : k + shared.SEGMENT])[lead:]
+        for found, m in zip(cuts, (HARD, EASY), strict=True):
+            found.append(np.flatnonzero((h & m) == 0) + (k + 1))
+    hard, easy = (np.concatenate([*found, [len(data) + MOST]]) for found in cuts)
     at = starts.copy()
     live = np.flatnonzero(at < ends)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -124,24 +131,21 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=SCHEMA.replace(",", "").split(" ")[::2])
 
 
-def fingerprinted(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Fingerprints of each document and of its edit with the next document, and their likeness."""
-    spark = docs.sparkSession
-    shared.small_batches(spark)
-    n = shared.partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
-    ids = docs.select("key")
-    bounds = shared.range_bounds(ids, "key", ranges or max(64, 4 * n))
-    firsts = sorted((r["range"], r["first"]) for r in ids.groupBy(shared.range_of("key", bounds).alias("range")).agg(F.min("key").alias("first")).collect())  # one row for each range
-    before = {r: firsts[k - 1][0] for k, (r, _) in enumerate(firsts)}
-    first = F.expr(f"element_at(map({','.join(f'{r},{shared.long_sql(f)}' for r, f in firsts)}), range)") if firsts else F.lit(0)
-    previous = F.expr(f"element_at(map({','.join(f'{r},{p}' for r, p in before.items())}), range)") if firsts else F.lit(0)
-    own, guest = F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(previous.alias("range"), F.lit(True).alias("guest"))
-    placed = docs.withColumn("range", shared.range_of("key", bounds)).withColumn("place", F.explode(F.when(F.col("key") == first, F.array(own, guest)).otherwise(F.array(own))))
-    return (
-        placed.select("place.range", "place.guest", "key", "doc_id", "text")
-        .repartition(n, "range")
-        .sortWithinPartitions("range", "guest", "key", "text")
-        .select("range", "guest", "doc_id", "text")
-        .mapInArrow(_pairs, SCHEMA)
-    )
+def fingerprinted(docs: DataFrame, target: int = RANGE_BYTES) -> DataFrame:
+    """Fingerprints of each document and of its edit with the next document, and their likeness. target: bytes in a range at most."""
+    n = shared.partitions(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(shared.NO_ID)))
+    # The first bytes of a text, as a number in the order of texts, cut an id that many rows have.
+    docs = docs.withColumn("split", F.conv(F.rpad(F.hex(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"))
+    docs = shared.ranges(docs, target, 4 * n).assigned(docs).withColumn("guest", F.lit(False))
+    columns = ["range", "guest", "key", "doc_id", "text"]
+    least = sorted((r["range"], r["key"]) for r in docs.groupBy("range").agg(F.min("key").alias("key")).collect())  # one row for each
+    if least:
+        size = least[-1][0] + 1
+        key, before = [0] * size, [0] * size
+        for (r, k), (b, _) in zip(least, [least[-1], *least], strict=False):  # after the last document comes the first
+            key[r], before[r] = k, b
+        mine = docs.where(F.col("key") == shared.at(key, "range")).withColumn("held", F.col("text").isNotNull())
+        guests = mine.groupBy("range", "key", "doc_id").agg(F.min(F.struct("held", "text")).alias("first")).select(shared.at(before, "range").cast("int").alias("range"), F.lit(True).alias("guest"), "key", "doc_id", "first.text")
+        docs = docs.select(*columns).unionByName(guests)
+    return docs.select(*columns).repartition(n, "range").sortWithinPartitions("range", "guest", "key", "text").select("range", "guest", "doc_id", "text").mapInArrow(_pairs, SCHEMA)

@@ -8,6 +8,11 @@ compared by their numbers of shingles and by parity bitmaps: shingles in one set
 differ. Pairs that may be similar are reduced to a spanning forest under each shingle; its components, over all shingles,
 hold every pair of near copies. Within a component the sets themselves are compared, but for pairs that are linked already.
 Each step is exact; the order of shingles decides how many texts meet, not what is found.
+
+Groups (a shingle's texts, a component's texts) of more than ``CROWD`` rows or ``UNIT_BYTES`` are cut into units, each compared in
+itself. Of copies, that links nearly all. Then one row of each label (component so far) of a group, but for the label that most
+rows have, meets the group's first unit, and rows that still have another label meet all units, in slices. So every pair of
+rows with different labels is compared, and no task holds more than two units.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ WORDS = 5
 BUCKETS = 1 << 16
 #: Widths of parity bitmaps: about a bit for each shingle.
 NARROW, WIDE = 1 << 10, 1 << 14
+#: Rows, and bytes, of a group that are compared in one task.
+CROWD, UNIT_BYTES = 1024, 8 << 20
+#: Groups with several units that are broadcast at most.
+BROADCAST_GROUPS = 500_000
 
 
 def least_common(n: int) -> int:
@@ -55,13 +64,18 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield h
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of shingles and parity bitmap of each text; at the end, without a bitmap, how many shingles each bucket has."""
+    total, names = np.zeros(BUCKETS, np.int64), ["text_hash", "n", "parity"]
     for chunk in shared.regrouped(batches, "text"):
-        s = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(chunk.column("text").combine_chunks())])
-        total += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        sets = list(shingle_sets(chunk.column("text").combine_chunks()))
+        for s in sets:
+            total += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
+        few = np.concatenate([np.zeros(0, np.uint64), *(s for s in sets if len(s) <= BUCKETS // 8)])
+        total += np.bincount((few % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([chunk.column("text_hash").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=names)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.binary())], names=names)
 
 
 def _prefixes(levels: np.ndarray):
@@ -109,14 +123,6 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in shared.regrouped(batches, "text"):
-        sets = list(shingle_sets(chunk.column("text").combine_chunks()))
-        yield pa.RecordBatch.from_arrays(
-            [chunk.column("text_hash").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["text_hash", "n", "parity"]
-        )
-
-
 def forest(n: np.ndarray, maps: list[np.ndarray], test=None) -> list[tuple[int, int]]:
     """Pairs of a spanning forest over the rows that may be similar and pass the test (none: all). n ascends."""
     label, parts = np.arange(len(n)), len(n)
@@ -141,62 +147,112 @@ def forest(n: np.ndarray, maps: list[np.ndarray], test=None) -> list[tuple[int,
     return out
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of texts that may be similar, from rows sorted by key and n."""
-    held: list[tuple] = []
+def _by_parity(rows: list[tuple]) -> list[tuple[int, int]]:
+    return forest(np.array([r[2] for r in rows], np.int64), [np.frombuffer(r[3], np.uint64) for r in rows])
 
-    def done() -> pa.RecordBatch | None:
-        found = forest(np.array([r[2] for r in held], np.int64), [np.frombuffer(r[3], np.uint64) for r in held]) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in found], pa.int64()), pa.array([held[j][1] for _, j in found], pa.int64())], names=["a", "b"]) if found else None
 
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("key", "text_hash", "n", "parity")), strict=True):
-            if held and held[0][0] != row[0]:
-                if (out := done()) is not None:
-                    yield out
-                held = []
-            held.append(row)
-    if held and (out := done()) is not None:
-        yield out
+def _by_sets(rows: list[tuple]) -> list[tuple[int, int]]:
+    sets = list(shingle_sets(pa.array([r[3] for r in rows], pa.large_binary()).cast(pa.large_string())))
+    return forest(np.array([r[2] for r in rows], np.int64), [parity(s) for s in sets], lambda i, j: similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])))
 
 
-def _verified(table: pa.Table) -> pa.Table:
-    """Links of near copies among the texts of one component: a spanning forest."""
-    sets = list(shingle_sets(table.column("text").combine_chunks()))
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    h, sets = table.column("text_hash").to_numpy()[order], [sets[i] for i in order]
-    found = forest(np.array([len(s) for s in sets], np.int64), [parity(s) for s in sets], lambda i, j: similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])))
-    return pa.table({"a": pa.array([h[i] for i, _ in found], pa.int64()), "b": pa.array([h[j] for _, j in found], pa.int64())})
+def _meeting(compare):
+    """Links among the rows of each unit, from rows sorted by unit and n."""
+
+    def linked(held: list[tuple]) -> pa.RecordBatch | None:
+        found = compare(held) if len(held) > 1 else []
+        links = [sorted((held[i][1], held[j][1])) for i, j in found if held[i][1] != held[j][1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]) if links else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("unit", "text_hash", "n", "data")), strict=True):
+                if held and held[0][0] != row[0]:
+                    if (out := linked(held)) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := linked(held)) is not None:
+            yield out
+        shared.trim()
+
+    return run
+
+
+def connected(rows: DataFrame, compare, tag: str) -> DataFrame:
+    """Links (a, b) that connect all rows (group, text_hash, n, data) of a group that compare() links, whatever the size of groups."""
+    spark = rows.sparkSession
+    parts = shared.partitions(spark)
+
+    def met(units: DataFrame) -> DataFrame:
+        units = units.select(F.xxhash64("group", "unit", "slice").alias("unit"), "text_hash", "n", "data")  # a clash only makes a unit larger
+        with shared.small_batches(spark):
+            return shared.written(units.repartition(parts, "unit").sortWithinPartitions("unit", "n", "text_hash").mapInArrow(_meeting(compare), "a long, b long").distinct(), tag)
+
+    units = F.ceil(F.greatest(F.count("*") / CROWD, F.sum(F.octet_length("data")) / UNIT_BYTES)).cast("int")
+    large = shared.written(rows.groupBy("group").agg(units.alias("units")).where("units > 1"), f"{tag}-large")
+    n_large = large.count()
+    none = F.lit(0)
+    if not n_large:
+        return met(rows.withColumns({"unit": none, "slice": none}))
+    sized = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+    placed = rows.join(sized, "group", "left").withColumn("units", F.coalesce("units", F.lit(1))).withColumn("unit", F.pmod(F.xxhash64("text_hash", "group"), "units").cast("int"))
+    links = met(placed.withColumn("slice", none))
+    large_rows = placed.where("units > 1")
+    for whole in (False, True):
+        labels = simhash.components(links).select(F.col("node").alias("text_hash"), F.col("root").alias("label"))
+        labelled = shared.written(large_rows.join(labels, "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash")), f"{tag}-labelled")
+        by_label = labelled.groupBy("group", "label").agg(F.count("*").alias("c"), F.min("text_hash").alias("first"))
+        most = by_label.groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+        others = by_label.join(most, "group").where("label != most")
+        open_ = others.groupBy("group").agg(F.sum("c" if whole else F.lit(1)).alias("asking")).withColumn("slices", F.ceil(F.col("asking") / CROWD).cast("int"))
+        open_ = shared.written(open_.select("group", "slices"), f"{tag}-open")
+        n_open = open_.count()
+        if not n_open:
+            break
+        known = F.broadcast(open_) if n_open <= BROADCAST_GROUPS else open_
+        keys = others.select("group", "label") if whole else others.select("group", F.col("first").alias("text_hash"))
+        asking = labelled.join(keys, keys.columns, "left_semi").join(known, "group").withColumn("slice", F.pmod(F.xxhash64("text_hash"), "slices").cast("int"))
+        asking = asking.withColumn("unit", F.explode(F.sequence(none, F.col("units") - 1)) if whole else none)
+        asked = labelled.join(known, "group").where("true" if whole else "unit = 0").withColumn("slice", F.explode(F.sequence(none, F.col("slices") - 1)))
+        columns = ["group", "unit", "slice", "text_hash", "n", "data"]
+        links = shared.written(links.unionByName(met(asking.select(*columns).unionByName(asked.select(*columns)))).distinct(), tag)
+    return links
 
 
 def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of different texts that connect all near copies."""
     spark = docs.sparkSession
-    shared.small_batches(spark)
     n = shared.partitions(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), text.alias("text"))
+    with shared.small_batches(spark):
+        made = shared.written(texts.mapInArrow(_sketches, "text_hash long, n long, parity binary"), "near-sketches")
     counts = np.zeros(BUCKETS)
-    for r in texts.select("text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS
-        counts[r["bucket"]] = r["n"]
+    for r in made.where("parity IS NULL").groupBy("text_hash").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS
+        counts[r["text_hash"]] = r["n"]
     levels = np.floor(np.log2(np.maximum(counts / max(np.median(counts), 1), 1))).astype(np.int8)
     prefixes = texts.mapInArrow(_prefixes(levels), "key long, text_hash long")
-    members = shared.written(prefixes.repartition(n, "key").sortWithinPartitions("key", "text_hash").mapInArrow(_shared_keys, "key long, text_hash long"), "near-members")
-    sketches = shared.written(texts.mapInArrow(_sketches, "text_hash long, n long, parity binary"), "near-sketches")
-    sketches = sketches.groupBy("text_hash").agg(F.min("n").alias("n"), F.min("parity").alias("parity"))
-    met = members.join(sketches, "text_hash").repartition(n, "key").sortWithinPartitions("key", "n").mapInArrow(_meeting, "a long, b long")
-    maybe = shared.written(met.distinct(), "near-candidates")
-    groups = simhash.components(maybe)
-    own = texts.join(groups.withColumnRenamed("node", "text_hash"), "text_hash").groupBy("text_hash").agg(F.min("root").alias("root"), F.min("text").alias("text"))
-    return shared.written(own.groupBy("root").applyInArrow(_verified, "a long, b long"), "near-links")
+    with shared.small_batches(spark):
+        members = shared.written(prefixes.repartition(n, "key").sortWithinPartitions("key", "text_hash").mapInArrow(_shared_keys, "key long, text_hash long"), "near-members")
+    sketches = made.where("parity IS NOT NULL").groupBy("text_hash").agg(F.min("n").alias("n"), F.min("parity").alias("data"))
+    met = shared.written(members.withColumnRenamed("key", "group").join(sketches, "text_hash").select("group", "text_hash", "n", "data"), "near-met")
+    groups = simhash.components(connected(met, _by_parity, "near-candidates"))
+    # Of equal texts one takes part; they are met by hashes before whole texts are moved.
+    candidates = groups.select(F.col("node").alias("text_hash"), F.col("root").alias("group"))
+    own = texts.join(candidates, "text_hash").groupBy("text_hash").agg(F.min("group").alias("group"), F.min("text").alias("text"))
+    own = own.join(sketches.select("text_hash", "n"), "text_hash").select("group", "text_hash", "n", F.col("text").cast("binary").alias("data"))
+    return connected(shared.written(own, "near-texts"), _by_sets, "near-links")
 
 
 def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
     """As simhash.deduplicated(), of components whose links are those of fingerprints and those of near copies."""
-    found = shared.written(simhash.near_duplicates(docs, radius).select("doc_id", "text_hash", "root"), "near-found")
-    alike = found.groupBy("root").agg(F.min("text_hash").alias("b"))
-    alike = found.join(alike, "root").where(F.col("text_hash") != F.col("b")).select(F.col("text_hash").alias("a"), "b").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    texts = shared.written(simhash.near_duplicates(docs, radius).groupBy("text_hash", "root").agg(first), "near-found")  # one row for each text
+    alike = texts.groupBy("root").agg(F.min("text_hash").alias("b"), F.count("*").alias("n")).where("n > 1")
+    alike = simhash.looked_up(texts, alike, "root", texts.count()).where(F.col("text_hash") != F.col("b")).select(F.col("text_hash").alias("a"), "b")
     roots = simhash.components(alike.unionByName(links(docs))).select(F.col("node").alias("text_hash"), F.col("root").alias("near"))
-    rooted = found.join(roots, "text_hash", "left").withColumn("near", F.coalesce("near", "text_hash"))
-    first = rooted.groupBy("near").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    return shared.chosen_rows(docs, shared.written(first.select("first.doc_id", "first.text_hash"), "near-kept"), once=True)
+    rooted = texts.join(roots, "text_hash", "left").withColumn("near", F.coalesce("near", "text_hash"))
+    kept = rooted.groupBy("near").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    return shared.chosen_rows(docs, shared.written(kept, "near-kept"), once=True)

@@ -135,11 +135,11 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[int, int, int, int,
 def packed(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
     spark = docs.sparkSession
-    shared.small_batches(spark)
-    pieces = shared.written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer_path, length), "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"),
-        "pieces",
-    )
+    with shared.small_batches(spark):
+        pieces = shared.written(
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer_path, length), "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"),
+            "pieces",
+        )
     groups = np.zeros((length + 1, SALTS), np.int64)
     for r in pieces.groupBy("length", "salt").count().collect():  # at most lengths times salts
         groups[r["length"], r["salt"]] = r["count"]

@@ -25,6 +25,8 @@ from quillon.llm import shared
 BITS = 18
 #: Bounds of the training sample.
 MAX_ROWS, MAX_CHARS = 4000, 20_000
+#: Bytes beyond which a text is scored in slices of words.
+LONG = 4 << 20
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58] = 48
 _CLASS[65:91] = 65
@@ -63,9 +65,23 @@ class Model:
     bias: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        if len(texts) == 1 and texts[0].is_valid and len(raw := texts[0].as_buffer()) > LONG:
+            total, words = self._long(np.frombuffer(raw, np.uint8))
+        else:
+            total, words = self._sums(texts)
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(words, 1) + self.bias, -35, 35)))
+
+    def _sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         text, place, words = features(texts)
-        dot = np.bincount(text, self.weights[place], len(words)) / np.maximum(words, 1)
-        return 1 / (1 + np.exp(-np.clip(dot + self.bias, -35, 35)))
+        return np.bincount(text, self.weights[place], len(words)), words
+
+    def _long(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one long text, slice by slice; a feature belongs to the slice that it ends in."""
+        total, words = np.zeros(1), np.zeros(1, np.int64)
+        for own, before in shared.word_slices(text, shared.SPACE, LONG // 8, before=2):
+            (a, b), (n, m) = zip(*(self._sums(pa.array([x], pa.large_binary()).cast(pa.large_string())) for x in (own, before)), strict=True)
+            total, words = total + a - b, words + n - m
+        return total, words
 
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> Model:
@@ -97,7 +113,6 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 4, alpha: float = 0.5,
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score for each row."""
-    shared.small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,4 +126,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Train on the labelled rows that may be learnt from, and score all documents."""
-    return scored(docs, train(*shared.labelled_sample(docs, labels, "quality", max_rows, max_chars)))
+    model = train(*shared.labelled_sample(docs, labels, "quality", max_rows, max_chars))
+    shared.trim()
+    return scored(docs, model)

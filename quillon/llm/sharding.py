@@ -6,8 +6,8 @@ ceil((1 + slack) * rows / shards); with slack 0 the counts of shards differ by o
 
 Rows between two neighbouring nodes (an arc) meet the same nodes in the same order, so the walk is settled for whole arcs
 on the driver: from counts by arc (shards * vnodes numbers, whatever the input) it makes ranges of ranks within an arc
-that go to the same shard. Rows then only need their rank within the arc. Equal rows are counted before the shuffle and
-share a range of ranks, so that no key is too large for a task.
+that go to the same shard. Rows then only need their rank within the arc, which is counted within equal cells of the ring. Equal
+rows are counted before the shuffle and share a range of ranks; they are made again in runs of ``RUN``, which are dealt out anew.
 
 The point depends on doc_id, size and checksum of the text. Nulls: a null text has no bytes; a null doc_id is a key like
 any other. Rows that agree in all of doc_id, size and checksum are interchangeable. An empty table gives an empty result;
@@ -24,6 +24,8 @@ from quillon.llm import shared
 
 OVERHEAD = 16
 RING = 1 << 63
+#: Repeated rows that are made in one go.
+RUN = 1 << 16
 
 
 def ring(n_shards: int, vnodes: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +86,22 @@ def sharded(docs: DataFrame, n_shards: int, vnodes: int = 64, slack: float = 0.0
             yield b
 
     keys = shared.written(keys.mapInPandas(to_arc, "doc_id long, size long, text_crc32 long, count long, point long, arc int"), "shard-keys")
-    by_arc = {r["arc"]: r["n"] for r in keys.groupBy("arc").agg(F.sum("count").alias("n")).collect()}  # one row for each virtual node at most
-    counts = np.array([by_arc.get(a, 0) for a in range(len(points))], np.int64)
+    width = RING // (4 * shared.partitions(spark)) + 1
+    keys = keys.withColumn("cell", F.expr(f"cast(point div {width} AS int)"))
+    by_cell = sorted((r["arc"], r["cell"], r["n"]) for r in keys.groupBy("arc", "cell").agg(F.sum("count").alias("n")).collect())  # nodes and cells at most
+    counts, starts = np.zeros(len(points), np.int64), []
+    for a, c, k in by_cell:
+        starts.append((a, c, int(counts[a])))
+        counts[a] += k
     ranges = settle(counts, shard, capacities(int(counts.sum()), n_shards, slack))
     where = spark.createDataFrame(ranges, "arc int, lo long, hi long, shard int, base long")
-    order = Window.partitionBy("arc").orderBy("point", "doc_id", "size", "text_crc32")
-    ranked = keys.withColumn("first", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
-    # Ranges per arc and shard are bounded by the ring, not by the rows.
+    order = Window.partitionBy("arc", "cell").orderBy("point", "doc_id", "size", "text_crc32")
+    ranked = keys.withColumn("before", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
+    # Starts and ranges are bounded by the ring and the partitions, not by the rows.
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(starts, "arc int, cell int, start long")), ["arc", "cell"]).withColumn("first", F.col("start") + F.col("before"))
     met = ranked.join(F.broadcast(where), "arc").where((F.col("lo") < F.col("first") + F.col("count")) & (F.col("first") < F.col("hi")))
-    first, end = F.greatest("first", "lo"), F.least(F.col("first") + F.col("count"), "hi")
-    return met.withColumn("rank", F.explode(F.sequence(first, end - 1))).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot")
-    )
+    made = met.select("doc_id", "size", "text_crc32", "shard", "lo", "base", F.greatest("first", "lo").alias("rank"), F.least(F.col("first") + F.col("count"), "hi").alias("end"))
+    run = F.least(F.col("end"), F.col("rank") + RUN)
+    long = made.where(F.col("end") - F.col("rank") > RUN).withColumn("rank", F.explode(F.sequence("rank", F.col("end") - 1, F.lit(RUN)))).withColumn("end", run).repartition(shared.partitions(spark), "doc_id", "rank")
+    made = made.where(F.col("end") - F.col("rank") <= RUN).unionByName(long).withColumn("rank", F.explode(F.sequence("rank", F.col("end") - 1)))
+    return made.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))

@@ -35,43 +35,59 @@ from quillon.llm import shared
 BITS, SEED, SHINGLE = 64, 42, 3
 #: Rows under one key that are compared with each other in one task.
 LIMIT = 512
+#: Bytes beyond which a text is hashed in slices of words.
+LONG = 4 << 20
+#: Rows of one key up to which a join needs no care.
+CROWD = 100_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    one = b" ".join((text or "").encode().lower().split())
+def shingle_hashes(text: bytes) -> np.ndarray:
+    one = b" ".join(text.lower().split())
     if not one:
         return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(one, np.uint8) == 32)
-    if len(gaps) < SHINGLE:
+    if len(gaps) < SHINGLE - 1:
         return np.array([xxhash.xxh64_intdigest(one, SEED)], np.uint64)
-    starts = [0, *(gaps[: 1 - SHINGLE] + 1).tolist()]
+    starts = [0, *(gaps[: len(gaps) - SHINGLE + 1] + 1).tolist()]
     ends = [*gaps[SHINGLE - 1 :].tolist(), len(one)]
     h = xxhash.xxh64_intdigest
     return np.array([h(one[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
+def _slices(text: bytes) -> Iterator[bytes]:
+    """The text, or where it is long parts of it that hold each shingle once."""
+    if len(text) <= LONG:
+        yield text
+        return
+    parts = shared.word_slices(np.frombuffer(text, np.uint8), shared.SPACE, LONG // 64, after=SHINGLE - 1)
+    for k, (part, _) in enumerate(parts):
+        if k == 0 or len(part.split(None, SHINGLE - 1)) >= SHINGLE:
+            yield part
+
+
+def fingerprint(text: str | None) -> int:
     """The bits that are set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    total = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[k : k + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+    total, n = np.zeros(BITS, np.int64), 0
+    for part in _slices((text or "").encode()):
+        hashes = shingle_hashes(part)
+        n += len(hashes)
+        for k in range(0, len(hashes), 1 << 16):
+            total += np.unpackbits(hashes[k : k + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        bits = np.array([majority(shingle_hashes(t)) for t in b.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(bits.view(np.int64))], names=["doc_id", "text_hash", "bits"])
+    for chunk in shared.regrouped(batches, "text"):
+        one = chunk.combine_chunks().to_batches()[0]
+        bits = np.array([fingerprint(t) for t in one.column("text").to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("text_hash"), pa.array(bits.view(np.int64))], names=["doc_id", "text_hash", "bits"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, xxhash64 of the text, and the fingerprint as a signed long."""
-    shared.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(
         _fingerprints, "doc_id long, text_hash long, bits long"
     )
@@ -261,21 +277,35 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 # --- components -----------------------------------------------------------------------------
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with found, which has one row for each key and the number n of rows with it. Keys with many rows are broadcast: of
+    total rows, 4 times as many such keys as there are partitions at most."""
+    if total <= CROWD:
+        return rows.join(found.drop("n"), key)
+    limit = max(CROWD, total // (4 * shared.partitions(rows.sparkSession)))
+    crowded = F.broadcast(found.where(F.col("n") > limit).drop("n"))
+    rest = rows.join(F.broadcast(found.where(F.col("n") > limit).select(key)), key, "left_anti")
+    return rows.join(crowded, key).unionByName(rest.join(found.where(F.col("n") <= limit).drop("n"), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root: the smallest node that it is connected with. Large-star and
     small-star rounds; a node's smallest neighbour is aggregated before the shuffle, and its neighbours are joined to it."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    while True:
-        before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
+    before = edges.agg(*state).first()
+    while before["n"]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = looked_up(both, least, "a", 2 * before["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, least, "a", 2 * before["n"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = shared.written(small.where(F.col("a") != F.col("b")).distinct(), "components")
-        if edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == before:
+        after = edges.agg(*state).first()
+        if after == before:
             break
+        before = after
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -283,12 +313,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, text_hash, bits, root and component_id for each document. root: the same for all of a component;
     component_id: the smallest doc_id that links lead to."""
-    marked = shared.written(fingerprints(docs), "fingerprints")
-    distinct = shared.written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "fingerprints-distinct")
+    with shared.small_batches(docs.sparkSession):
+        marked = shared.written(fingerprints(docs), "fingerprints")
+    distinct = shared.written(marked.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fingerprints-distinct")
     roots = components(links(distinct, radius)).withColumnRenamed("node", "bits")
-    rooted = distinct.join(roots, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(smallest, "root").select("bits", "root", "component_id"), "bits")
+    rooted = distinct.join(roots, "bits", "left").select("bits", "first", "n", F.coalesce("root", "bits").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    found = looked_up(rooted.withColumnRenamed("n", "copies"), smallest, "root", distinct.count()).withColumnRenamed("copies", "n")
+    found = shared.written(found, "fingerprints-rooted")
+    return looked_up(marked, found, "bits", marked.count()).select("doc_id", "text_hash", "bits", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:

@@ -5,10 +5,13 @@ length, and each next one only at windows of twice that length (clipped to ``win
 is clipped, both repeat: 7 and 13 words, or 7, 13, 25 and 50. A level is one exchange of hashes, cheap while it only
 filters (a few bytes each, false alarms allowed) and wide (96 bits) in the last. A range without candidates sends nothing.
 
-Documents are first dealt into ranges of doc_id and written to a table bucketed by range, so that the levels need not
-move texts again. In a level, each range sends each of its distinct hashes once, packed by hash part; a part answers each range
-with one bit for each hash: seen in another range (filters), or in a range of smaller ids (last level). Within a
-range, documents are compared directly. So what a hash costs does not depend on how many rows share it.
+Documents are first dealt into ranges of doc_id, of about equally many bytes (an id with more than that has several), and written
+to a table bucketed by range, so that the levels need not move texts again. In a level, each range sends each of its distinct
+hashes once, packed by hash part; a part answers each range with one bit for each hash: seen in another range (filters), or in
+a range of smaller ids (last level). Within a range, documents are compared directly. So what a hash costs does not depend on how
+many rows share it. Where a level leaves no candidates, the levels after it are not run. A message holds ``MESSAGE`` hashes or
+more on average as long as a part then stays within ``PART`` hashes, so that their number grows with the text, not with the square of
+the partitions. Words are removed by the equality of 96-bit hashes; the words themselves are not compared.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D. Windows are judged on the input. Nulls: a null text has no
 words; null ids count as smaller than all others. Documents of equal id don't remove from each other. Texts without a
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 
 from quillon.llm import shared
 
-NO_ID = -(1 << 63)
+#: Bytes of text in a range, hashes in a message at least, and hashes in a part at most (all on average).
+RANGE_BYTES, MESSAGE, PART = 8 << 20, 1024, 1 << 22
 #: The first level's windows have at least this many words, and at most twice as many.
 SEED = 6
 MAX_BITS = 60
@@ -166,23 +170,33 @@ def _alone(f):
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """The rows of docs with n_words, n_removed and the text that is left (kept): columns row (the input row without its text),
-    doc_id, kept, n_words, n_removed."""
+    doc_id, kept, n_words, n_removed. It is computed at once and read back from the shared folder."""
+    spark, name = docs.sparkSession, f"quillon_ranges_{uuid.uuid4().hex}"
+    try:
+        return shared.written(_without_repeats(docs, window, name), "without-repeats")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        shared.drop_path(spark, f"{shared.scratch_dir(spark)}/{name}")
+
+
+def _without_repeats(docs: DataFrame, window: int, name: str) -> DataFrame:
     spark = docs.sparkSession
     n = shared.partitions(spark)
     lengths = levels(window)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    table = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
-    bounds = shared.range_bounds(table.select("key"), "key", max(64, 4 * n))
-    name = f"quillon_ranges_{uuid.uuid4().hex}"
-    table = table.withColumn("range", shared.range_of("key", bounds)).repartition(n, "range")
+    rest = [F.col(shared.quoted(c)) for c in docs.columns if c != "text"]
+    table = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(shared.NO_ID)).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
+    table = table.withColumn("split", F.xxhash64("text", F.monotonically_increasing_id()))
+    ranges = shared.ranges(table.select("key", "split", "text"), RANGE_BYTES, 2 * n)
+    table = ranges.assigned(table).drop("split").repartition(n, "range")
     table.write.bucketBy(n, "range").option("path", f"{shared.scratch_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
+    table, order = spark.table(name), ranges.order
 
     total = (table.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 + 1
+    in_range = max(1.0, total / max(1, len(order)))
     bits = min(MAX_BITS, total.bit_length() + 5)
-    parts_log = max(1, (n - 1).bit_length())
+    parts_log = max(1, min(n - 1, int(in_range / MESSAGE)).bit_length(), (total // PART).bit_length())
     count = 1 << parts_log
-    mean_gap = float(1 << bits) / max(1.0, total / (len(bounds) + 1))
+    mean_gap = float(1 << bits) / in_range
 
     def short_cuts(values: np.ndarray) -> np.ndarray:
         return _parts(values, bits - parts_log, count)
@@ -218,10 +232,13 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         sent = sent.sort_by("range")
         found = [np.frombuffer(b, [("high", "<u8"), ("low", "<u4")]) for b in sent.column("blob").to_pylist()]
         wide, source = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-        order = np.lexsort((source, wide["low"], wide["high"]))
-        h, w = wide["high"][order], wide["low"][order]
+        place = order[sent.column("range").to_numpy()][source]
+        at = np.lexsort((place, wide["low"], wide["high"]))
+        h, w, place = wide["high"][at], wide["low"][at], place[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
         flags = np.zeros(len(wide), bool)
-        flags[order[1:]] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])  # not the first range of this hash
+        flags[at] = place > place[np.flatnonzero(new)][np.cumsum(new) - 1]  # ids of the first range of this hash are smaller
         return _replied(len(lengths) - 1, sent.column("range").to_numpy(), source, flags, sent.column("part")[0].as_py())
 
     row_type = next(f for f in table.schema if f.name == "row").dataType
@@ -244,7 +261,7 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             keep = ~covered[begin[k] : begin[k] + r.words[k]]
             texts[k] = b" ".join([w for w, kept in zip(texts[k].encode().split(), keep.tolist(), strict=True) if kept]).decode()
         key = r.docs.column("key").to_numpy()
-        return pa.table({"row": r.docs.column("row"), "doc_id": pa.array(key, mask=key == NO_ID), "kept": pa.array(texts, pa.string()), "n_words": pa.array(r.words), "n_removed": pa.array(lost)})
+        return pa.table({"row": r.docs.column("row"), "doc_id": pa.array(key, mask=key == shared.NO_ID), "kept": pa.array(texts, pa.string()), "n_words": pa.array(r.words), "n_removed": pa.array(lost)})
 
     by_range, replies = table.groupBy("range"), None
     for level, length in enumerate(lengths):
@@ -252,4 +269,6 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         sent = by_range.applyInArrow(_alone(send), SENT) if replies is None else by_range.cogroup(replies.groupBy("range")).applyInArrow(send, SENT)
         found = shared.written(sent.groupBy("part").applyInArrow(answer, REPLY), f"windows-{length}")
         replies = found if replies is None else replies.unionAll(found)
+        if not found.take(1):  # no window repeats in another range: what is left is compared within ranges
+            break
     return by_range.cogroup(replies.groupBy("range")).applyInArrow(removed, result)

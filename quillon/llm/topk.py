@@ -89,11 +89,19 @@ def best_of_tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
         kept = np.take_along_axis(key, top, 1) > -np.inf
         rows, top = np.repeat(np.arange(len(q)), take).reshape(-1, take)[kept], top[kept]
         return rows, c_ids[top], np.rint(np.einsum("ij,ij->i", q[rows], c[top])).astype(np.int64)
-    exact = [[int(x) for x in v] for v in c]
+    # Products that fit 64 bits are exact as such; other pairs, each alone, are not bounded.
+    high_q, high_c = (np.abs(m).max(axis=1, initial=0) for m in (q, c))
+    wide = np.outer(high_q, high_c) * dim >= 2.0**62
+    own, other = (np.where(h[:, None] < 2.0**62, m, 0).astype(np.int64) for m, h in ((q, high_q), (c, high_c)))
+    score = np.where(wide, 0, own @ other.T)
     rows, ids, scores = [], [], []
-    for r, v in enumerate(q):
-        v = [int(x) for x in v]
-        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for w, i in zip(exact, c_ids.tolist(), strict=True) if i != q_ids[r])[:k]
+    for r in range(len(q)):
+        free = np.flatnonzero(~wide[r] & (c_ids != q_ids[r]))
+        free = free[np.lexsort((c_ids[free], -score[r, free]))[:k]]
+        found = list(zip((-score[r, free]).tolist(), c_ids[free].tolist(), strict=True))
+        v = [int(x) for x in q[r]] if wide[r].any() else []
+        found += [(-sum(a * int(b) for a, b in zip(v, c[j], strict=True)), int(c_ids[j])) for j in np.flatnonzero(wide[r] & (c_ids != q_ids[r])).tolist()]
+        found = sorted(found)[:k]
         rows += [r] * len(found)
         ids += [i for _, i in found]
         scores += [min(max(-s, -(1 << 63)), (1 << 63) - 1) for s, _ in found]
@@ -114,12 +122,12 @@ def _cell(k: int):
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """The k best rows of each query: query_id, rank, vec_id, score. is_query: a condition on the id column."""
     spark = vectors.sparkSession
-    shared.small_batches(spark, BLOCK)
     block = "ids binary, mat binary, dim int"
     asking = quantised(vectors.where(is_query), id_col, vec_col, scale).groupBy("id").agg(F.min("vec").alias("vec"))
     numbered = F.monotonically_increasing_id()
-    shards = shared.written(quantised(vectors, id_col, vec_col, scale).mapInPandas(_blocks, block).withColumn("no", numbered), "topk-shards")
-    queries = shared.written(asking.mapInPandas(_blocks, block), "topk-queries")
+    with shared.small_batches(spark, BLOCK):
+        shards = shared.written(quantised(vectors, id_col, vec_col, scale).mapInPandas(_blocks, block).withColumn("no", numbered), "topk-shards")
+        queries = shared.written(asking.mapInPandas(_blocks, block), "topk-queries")
     n_shards, n_blocks, n = shards.count(), queries.count(), shared.partitions(spark)
     side = min(GROUP, max(1, math.isqrt(n_shards * n_blocks // (2 * n))))  # smaller cells where there are few tiles for the tasks
     groups, query_groups = max(1, math.ceil(n_shards / side)), max(1, math.ceil(n_blocks / side))
@@ -131,9 +139,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     right = shards.withColumnRenamed("no", "slot").withColumn("cell", F.pmod(F.xxhash64("slot"), F.lit(groups)).cast("int")).withColumn("asked", each(query_groups))
     left = queries.select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("ids"), F.lit(query_groups)).cast("int").alias("asked"))
     left = left.withColumn("cell", each(groups))
-    shared.small_batches(spark, 4)
     tiles = left.join(right, ["cell", "asked"]).select("cell", "slot", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")
-    lists = tiles.mapInPandas(_cell(k), "query_id long, cell int, slot long, worse long, vec_id long")
+    with shared.small_batches(spark, 4):
+        lists = shared.written(tiles.mapInPandas(_cell(k), "query_id long, cell int, slot long, worse long, vec_id long"), "topk-lists")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
     lists = lists.groupBy("query_id", "cell", "slot").agg(F.collect_list(F.struct("worse", "vec_id")).alias("best"))
     lists = lists.groupBy("query_id", "cell").agg(best)  # at most the shards of a cell, k entries each

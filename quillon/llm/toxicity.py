@@ -38,6 +38,8 @@ KNOWN = 5
 REJECT = 0.7
 #: Bounds of the training sample.
 MAX_ROWS, MAX_CHARS = 4000, 20_000
+#: Bytes beyond which a text is scored in slices of words.
+LONG = 4 << 20
 _LOWER = np.full(256, 32, np.uint8)
 _LOWER[48:58] = np.arange(48, 58)
 _LOWER[97:123] = np.arange(97, 123)
@@ -264,20 +266,28 @@ def train(texts: list[str], y: np.ndarray, warm: int = 4, epochs: int = 6, batch
     return p
 
 
+def _worst(p: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
+    out, words = np.zeros(len(texts)), Words(texts)
+    if len(words.windows):
+        np.maximum.at(out, words.of_text, _sigmoid(logits(p, words).astype(float)))
+    return out
+
+
 def scores(p: dict[str, np.ndarray] | None, texts: pa.Array) -> np.ndarray:
     """The worst window of each text."""
-    out = np.zeros(len(texts))
     if p is None or not len(texts):
-        return out
-    words = Words(texts)
-    if len(words.windows):
-        np.maximum.at(out, words.of_text, _sigmoid(logits(p, words).astype(float)))
+        return np.zeros(len(texts))
+    if len(texts) > 1 or not texts[0].is_valid or len(raw := texts[0].as_buffer()) <= LONG:
+        return _worst(p, texts)
+    out, step = np.zeros(1), LONG // 8 // STRIDE * STRIDE
+    for k, (own, _) in enumerate(shared.word_slices(_LOWER[np.frombuffer(raw, np.uint8)], _GAP, step, after=WINDOW - STRIDE)):
+        if k == 0 or len(own.split()) > WINDOW - STRIDE:  # else all its words are in windows of the slice before
+            out = np.maximum(out, _worst(p, pa.array([own], pa.large_binary()).cast(pa.large_string())))
     return out
 
 
 def scored(docs: DataFrame, p: dict[str, np.ndarray] | None, carry: bool = False) -> DataFrame:
     """doc_id, held_out and score of each row; with carry also row, a struct of all columns of docs."""
-    shared.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(p)  # bounded by the training sample
     names = ["doc_id", "held_out", *["row"] * carry]
 
@@ -287,7 +297,7 @@ def scored(docs: DataFrame, p: dict[str, np.ndarray] | None, carry: bool = False
             yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names), pa.array(scores(shipped.value, one.column("text")))], names=[*names, "score"])
 
     held_out = F.coalesce(shared.id_hash("doc_id") % 3 == 1, F.lit(False)).alias("held_out")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    row = F.struct(*(F.col(shared.quoted(c)) for c in docs.columns)).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, *[row] * carry, F.col("text").cast("string").alias("text"))
     schema = T.StructType([*(f for f in rows.schema if f.name in names), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
@@ -295,4 +305,6 @@ def scored(docs: DataFrame, p: dict[str, np.ndarray] | None, carry: bool = False
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, carry: bool = False) -> DataFrame:
     """Train on the labelled rows that may be learnt from, and score all documents: doc_id, held_out, (row,) score."""
-    return scored(docs, train(*shared.labelled_sample(docs, labels, "toxic", max_rows, max_chars)), carry)
+    model = train(*shared.labelled_sample(docs, labels, "toxic", max_rows, max_chars))
+    shared.trim()
+    return scored(docs, model, carry)

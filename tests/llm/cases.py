@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
-EXTRA = ["range", "key", "row", "text_hash", "bits", "size", "count", "score", "held_out", "arc"]
+EXTRA = ["range", "key", "row", "text_hash", "bits", "size", "count", "score", "held_out", "arc", "__id", "id__", "__hash", "hash__", "a.b", "c d", "e`f", "first", "label"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("text", "lang", "source")), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in EXTRA)]
 )

@@ -46,7 +46,7 @@ def brute(rows):
 
 def test_query_against_brute_force(spark):
     for data in (cases.rows(), [(5, "alone in the table", "en", "a")], [(1, None, None, None), (2, "", None, None)]):
-        got = fp.fingerprinted(cases.documents(spark, data), ranges=7).collect()
+        got = fp.fingerprinted(cases.documents(spark, data), target=2000).collect()
         assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got), key=str) == brute(data)
         by_text = {}
         for r in got:
@@ -59,3 +59,11 @@ def test_shifted_text_keeps_its_chunks():
     f = fp.Fingerprints([text, "some words put before it " + text])
     assert f.likeness(1, f, 1)[0] > 0.99
     assert np.isclose(fp.Fingerprints([text]).likeness(1, fp.Fingerprints([text]))[0], 1)
+
+
+def test_a_doc_id_that_most_rows_have(spark):
+    rng = random.Random(4)
+    for hot in (7, None):
+        data = [(i if i % 4 == 0 else hot, cases.words(rng, rng.randrange(0, 30)), "en", "a") for i in range(200)]
+        got = fp.fingerprinted(cases.documents(spark, data), target=500).collect()
+        assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got), key=str) == brute(data)

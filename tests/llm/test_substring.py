@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.llm import substring
+from quillon.llm import shared, substring
 from tests.llm import cases
 
 
@@ -29,7 +29,7 @@ def check(spark, data, window=13):
     got = substring.without_repeats(docs, window)
     rows = got.collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], " ".join((r["kept"] or "").encode().split()[0:0]) or b" ".join((r["kept"] or "").encode().split()).decode()) for r in rows), key=str) == brute(data, window)
-    same = got.where("n_removed = 0").select(F.col("kept").alias("text"), *(f"row.{c}" for c in docs.columns if c != "text")).select(docs.columns)
+    same = got.where("n_removed = 0").select(F.col("kept").alias("text"), *(F.col(f"row.{shared.quoted(c)}").alias(c) for c in docs.columns if c != "text")).select(*map(shared.quoted, docs.columns))
     assert same.exceptAll(docs).count() == 0  # untouched rows come back as they were
     assert got.select("row.*").columns == [c for c in docs.columns if c != "text"]
 
@@ -65,3 +65,25 @@ def test_packing_of_numbers():
         for gap in (1.0, 5000.0, 1e6, 1e12):
             assert (substring.unpacked(substring.packed(values, gap)) == values).all()
     assert len(substring.unpacked(substring.packed(np.zeros(0, np.uint64), 5.0))) == 0
+
+
+def test_a_doc_id_that_most_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(substring, "RANGE_BYTES", 3000)
+    rng = random.Random(11)
+    same = cases.words(rng, 30)
+    for hot in (7, None):
+        check(spark, [(i if i % 4 == 0 else hot, f"{cases.words(rng, 20)} {same if i % 5 == 0 else ''} {cases.words(rng, 9, 5)}", "en", "a") for i in range(200)])
+
+
+def test_nothing_is_left_registered(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert substring.without_repeats(cases.documents(spark)).count() == len(cases.rows())
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_levels_end_with_the_candidates(spark, monkeypatch):
+    levels = []
+    written = shared.written
+    monkeypatch.setattr(shared, "written", lambda df, tag: levels.append(tag) or written(df, tag))
+    check(spark, [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "a") for i in range(40)], 50)
+    assert "windows-7" in levels and "windows-50" not in levels
