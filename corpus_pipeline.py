@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = substring.without_repeats(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
-    return out.select(*(F.col("kept").alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns))
+    return out.select(*(F.col("kept").alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"row.{shared.quoted(c)}") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
