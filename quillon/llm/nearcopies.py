@@ -9,10 +9,10 @@ differ. Pairs that may be similar are reduced to a spanning forest under each sh
 hold every pair of near copies. Within a component the sets themselves are compared, but for pairs that are linked already.
 Each step is exact; the order of shingles decides how many texts meet, not what is found.
 
-Groups (a shingle's texts, a component's texts) of more than ``CROWD`` rows or ``UNIT_BYTES`` are cut into units, each compared in
-itself. Of copies, that links nearly all. Then one row of each label (component so far) of a group, but for the label that most
-rows have, meets the group's first unit, and rows that still have another label meet all units, in slices. So every pair of
-rows with different labels is compared, and no task holds more than two units.
+A shingle that more than ``CROWD`` texts share makes one component of them, without a comparison. Components of more than ``CROWD`` texts
+or ``UNIT_BYTES`` are cut into units, each compared in itself. Of copies, that links nearly all. Then one text of each label
+(component of near copies so far) but for the most frequent one meets the first unit, and texts that still have another label
+meet all units, in slices. So every pair of texts with different labels is compared, and no task holds more than two units.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ WORDS = 5
 BUCKETS = 1 << 16
 #: Widths of parity bitmaps: about a bit for each shingle.
 NARROW, WIDE = 1 << 10, 1 << 14
-#: Rows, and bytes, of a group that are compared in one task.
+#: Texts, and their bytes, that are compared in one task.
 CROWD, UNIT_BYTES = 1024, 8 << 20
 #: Groups with several units that are broadcast at most.
 BROADCAST_GROUPS = 500_000
@@ -237,8 +237,13 @@ def links(docs: DataFrame) -> DataFrame:
     with shared.small_batches(spark):
         members = shared.written(prefixes.repartition(n, "key").sortWithinPartitions("key", "text_hash").mapInArrow(_shared_keys, "key long, text_hash long"), "near-members")
     sketches = made.where("parity IS NOT NULL").groupBy("text_hash").agg(F.min("n").alias("n"), F.min("parity").alias("data"))
-    met = shared.written(members.withColumnRenamed("key", "group").join(sketches, "text_hash").select("group", "text_hash", "n", "data"), "near-met")
-    groups = simhash.components(connected(met, _by_parity, "near-candidates"))
+    large = shared.written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("text_hash").alias("first")).where(F.col("n") > CROWD).drop("n"), "near-crowds")
+    large = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+    star = members.join(large, "key").select(F.col("text_hash").alias("a"), F.col("first").alias("b")).where("a != b")
+    met = members.join(large.select("key"), "key", "left_anti").join(sketches, "text_hash").select(F.col("key").alias("unit"), "text_hash", "n", "data")
+    with shared.small_batches(spark):
+        met = met.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_meeting(_by_parity), "a long, b long")
+        groups = simhash.components(shared.written(met.unionByName(star).distinct(), "near-candidates"))
     # Of equal texts one takes part; they are met by hashes before whole texts are moved.
     candidates = groups.select(F.col("node").alias("text_hash"), F.col("root").alias("group"))
     own = texts.join(candidates, "text_hash").groupBy("text_hash").agg(F.min("group").alias("group"), F.min("text").alias("text"))

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import shared
@@ -288,19 +288,24 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFr
     return rows.join(crowded, key).unionByName(rest.join(found.where(F.col("n") <= limit).drop("n"), key))
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with the smallest b of each a (m). Few edges (total) are sorted by a, once; of many, smallest ones are aggregated before they
+    are shuffled, and those of crowded nodes broadcast."""
+    if total <= CROWD:
+        return edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return looked_up(edges, edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "a", total)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root: the smallest node that it is connected with. Large-star and
-    small-star rounds; a node's smallest neighbour is aggregated before the shuffle, and its neighbours are joined to it."""
+    small-star rounds."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
     before = edges.agg(*state).first()
     while before["n"]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = looked_up(both, least, "a", 2 * before["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = looked_up(large, least, "a", 2 * before["n"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        large = _with_least(both, 2 * before["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where(F.col("a") != F.col("b"))
+        small = _with_least(large, 2 * before["n"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = shared.written(small.where(F.col("a") != F.col("b")).distinct(), "components")
         after = edges.agg(*state).first()
         if after == before:

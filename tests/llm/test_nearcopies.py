@@ -72,3 +72,20 @@ def test_edge_cases(spark):
     docs = cases.documents(spark)
     kept = nearcopies.deduplicated(docs)
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.where("doc_id = 107").count() == 1
+
+
+def test_groups_larger_than_a_unit(spark, monkeypatch):
+    """Components and shingles of many texts: chains whose ends are no near copies, copies, and texts that share a passage only."""
+    monkeypatch.setattr(nearcopies, "CROWD", 8)
+    rng = random.Random(12)
+    data, i = [], 0
+    for _ in range(3):
+        text = cases.words(rng, 40, 5000)
+        for _ in range(30):
+            data.append((i, text, "en", "a"))
+            text, i = edited(rng, text, 1), i + 1
+    base, passage = cases.words(rng, 50, 5000), cases.words(rng, 30, 5000)
+    data += [(i + k, edited(rng, base, 1 + k % 3), "en", "a") for k in range(60)]
+    data += [(i + 60 + k, f"{passage} {cases.words(rng, 4 + k % 9, 5000)}", "en", "a") for k in range(60)]
+    got = sorted(r["doc_id"] for r in nearcopies.deduplicated(cases.documents(spark, data)).collect())
+    assert got == brute_kept(data)
