@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,16 +90,34 @@ def ingest_foreach_batch(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-def zorder_written(spark: SparkSession, d: str) -> DataFrame:
+def _curve_written(spark: SparkSession, d: str, curve: str) -> DataFrame:
+    """Parts of different places on the curve, with the row numbers that they were written with."""
     path = files.scratch(spark, "curve")
-    writer.write_table(table(spark, d, "part"), path, cluster_by="zorder", cluster_columns=["p_size", "p_retailprice"])
-    return spark.read.parquet(path).select("p_partkey", "p_size", "p_retailprice")
+    parts = table(spark, d, "part").groupBy("p_size", "p_retailprice").agg(F.min("p_partkey").alias("p_partkey"))
+    writer.write_table(parts, path, cluster_by=curve, cluster_columns=["p_size", "p_retailprice"])
+    return spark.read.parquet(path).select("p_partkey", F.col(writer.INDEX).alias("place"))
+
+
+def zorder_written(spark: SparkSession, d: str) -> DataFrame:
+    return _curve_written(spark, d, "zorder")
 
 
 def hilbert_written(spark: SparkSession, d: str) -> DataFrame:
-    path = files.scratch(spark, "curve")
-    writer.write_table(table(spark, d, "part"), path, cluster_by="hilbert", cluster_columns=["p_size", "p_retailprice"])
-    return spark.read.parquet(path).select("p_partkey", "p_size", "p_retailprice")
+    return _curve_written(spark, d, "hilbert")
+
+
+#: Both curves bit by bit: Hilbert's by the walk through the quadrants from the highest bit down.
+_SCALED = """WITH RECURSIVE e AS (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part),
+u AS (SELECT p_size, p_retailprice, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2),
+s AS (SELECT p_partkey, CAST(floor((p_size - a) / (b - a) * 65535) AS BIGINT) AS x, CAST(floor((p_retailprice - c) / (d - c) * 65535) AS BIGINT) AS y FROM u, e)"""
+_ZORDER = f"""{_SCALED}, z AS (SELECT p_partkey, CAST(sum(((x >> b) & 1) * (1::BIGINT << (2 * b + 1)) + ((y >> b) & 1) * (1::BIGINT << (2 * b))) AS BIGINT) AS code FROM s, range(16) AS t(b) GROUP BY 1)
+SELECT p_partkey, row_number() OVER (ORDER BY code) AS place FROM z"""
+_HILBERT = f"""{_SCALED}, h AS (SELECT p_partkey, x, y, 15 AS b, 0::BIGINT AS code FROM s UNION ALL
+SELECT p_partkey, CASE WHEN (y >> b) & 1 = 1 THEN x & m WHEN (x >> b) & 1 = 1 THEN m - (y & m) ELSE y & m END,
+  CASE WHEN (y >> b) & 1 = 1 THEN y & m WHEN (x >> b) & 1 = 1 THEN m - (x & m) ELSE x & m END,
+  b - 1, code * 4 + CASE WHEN (x >> b) & 1 = 0 THEN (y >> b) & 1 WHEN (y >> b) & 1 = 1 THEN 2 ELSE 3 END
+FROM (SELECT *, (1::BIGINT << b) - 1 AS m FROM h WHERE b >= 0))
+SELECT p_partkey, row_number() OVER (ORDER BY code) AS place FROM h WHERE b = -1"""
 
 
 def roundtrip_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +132,9 @@ def roundtrip_ranges_list(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").groupBy("o_custkey")
     grouped = orders.agg(F.collect_list("o_orderpriority").alias("seqnames"), F.collect_list("o_orderkey").alias("start"), F.collect_list(F.col("o_orderkey") + 9).alias("end"), F.collect_list(F.lit("*")).alias("strand"))
     r = writer.write_ranges(grouped, path, "ranges", grouped=True)
-    total = F.aggregate("end", F.lit(0).cast("long"), lambda a, x: a + x)
-    return packages.read_resource(spark, path.rsplit("/", 1)[0], r).select("o_custkey", F.size("start").cast("long").alias("n"), total.alias("ends"))
+    back = packages.read_resource(spark, path.rsplit("/", 1)[0], r)
+    one = F.explode(F.arrays_zip("seqname", "start", "end", "strand")).alias("r")
+    return back.select("o_custkey", F.size("start").cast("long").alias("n"), one).select("o_custkey", "n", "r.*")
 
 
 def roundtrip_transposed(spark: SparkSession, d: str) -> DataFrame:
@@ -257,6 +278,54 @@ def polygon_subset(spark: SparkSession, d: str) -> DataFrame:
     return out.points["parts"].select("instance_id", "x", "y")
 
 
+def _squares(spark: SparkSession, d: str) -> DataFrame:
+    """A square around each part's point."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("instance_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    corners = F.array(*(F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
+    return p.select("instance_id", corners.alias("geometry"))
+
+
+def shapes_join(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes with shapes: squares that meet a zone."""
+    zones = _layers(spark, d).shapes["zones"].where("instance_id <> 'slope'")
+    return spatial.spatial_join(_squares(spark, d), zones).select("instance_id", F.col("shape_instance_id").alias("zone"))
+
+
+def spatial_join_left(spark: SparkSession, d: str) -> DataFrame:
+    """Points without a zone, and points with an unknown column, stay; equal points stay apart."""
+    x = _layers(spark, d)
+    points = x.points["parts"].withColumn("note", F.when(F.col("x") > 20, F.lit("far"))).drop("instance_id")
+    return spatial.spatial_join(points.unionByName(points), x.shapes["zones"], how="left").select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "note", F.col("shape_instance_id").alias("zone"))
+
+
+def spatial_pairs(spark: SparkSession, d: str) -> DataFrame:
+    x = _layers(spark, d)
+    points = x.points["parts"].withColumn("instance_id", F.col("instance_id").cast("long"))
+    return spatial.spatial_pairs(points, x.shapes["zones"], "instance_id", "instance_id")
+
+
+def polygon_subset_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes that hold the polygon, cross it or lie in it."""
+    x = _layers(spark, d)
+    x.shapes["squares"] = _squares(spark, d)
+    out = spatial.subset_by_polygon(x, "POLYGON ((5 902, 30.5 902, 30.5 912.5, 5 912.5, 5 902))")
+    return out.shapes["squares"].select("instance_id").unionByName(out.shapes["zones"].select("instance_id"))
+
+
+def geo_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Squares with a square hole, written as well-known binary: points in a hole are not in the shape."""
+    path = files.scratch(spark, "geo")
+    ring = lambda r: struct.pack("<I", 5) + b"".join(struct.pack("<dd", *p) for p in ((-r, 900 - r), (r, 900 - r), (r, 900 + r), (-r, 900 + r), (-r, 900 - r)))
+    data = bytearray(struct.pack("<BII", 1, 3, 2) + ring(40.0) + ring(20.0))
+    spark.createDataFrame([("frame", data), ("none", None)], "instance_id string, geometry binary").write.parquet(path)
+    zones = spatial.read_geo_layer(spark, path)
+    return spatial.spatial_join(_layers(spark, d).points["parts"], zones).select("instance_id", F.col("shape_instance_id").alias("zone"))
+
+
+_ZONE_BOXES = "(VALUES ('low', 0, 20, 900, 930), ('mid', 15, 35, 925, 960)) AS z(zone, x0, x1, y0, y1)"
+_FRAME = "p_size <= 40 AND p_retailprice BETWEEN 860 AND 940 AND NOT (p_size < 20 AND p_retailprice > 880 AND p_retailprice < 920)"
+
+
 def region_aggregate(spark: SparkSession, d: str) -> DataFrame:
     x = spatial.annotate_with_regions(_layers(spark, d), "parts", "zones")
     return spatial.aggregate_by_region(x, "sales", "sales", "sum", "annotation").select(F.col("feature").alias("supplier"), F.col("region").alias("zone"), F.round("value", 6).alias("value"))
@@ -276,8 +345,8 @@ def entries() -> dict:
         "roundtrip_partition_prune": (roundtrip_partition_prune, "SELECT l_partkey AS feature, l_suppkey AS sample, sum(l_quantity) AS value FROM lineitem WHERE l_suppkey BETWEEN 1 AND 40 GROUP BY 1, 2"),
         "roundtrip_factor": (roundtrip_factor, "SELECT c_mktsegment, CAST(list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) AS BIGINT) AS code, count(*) AS n FROM customer GROUP BY 1, 2"),
         "ingest_foreach_batch": (ingest_foreach_batch, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
-        "zorder_written": (zorder_written, "SELECT p_partkey, p_size, p_retailprice FROM part"),
-        "hilbert_written": (hilbert_written, "SELECT p_partkey, p_size, p_retailprice FROM part"),
+        "zorder_written": (zorder_written, _ZORDER),
+        "hilbert_written": (hilbert_written, _HILBERT),
         "graph_subset": (graph_subset, f'{_EDGES} SELECT a.position AS "from", b.position AS "to", orders FROM e JOIN n a ON a.node = f JOIN n b ON b.node = t'),
         "graph_induced": (lambda s, d: _supplier_graph(s, d).induced(_nodes(s, d)), f'{_EDGES} SELECT f AS "from", t AS "to", orders FROM e WHERE f IN (SELECT node FROM n) AND t IN (SELECT node FROM n)'),
         "graph_degree": (lambda s, d: _supplier_graph(s, d).degrees(), f"{_EDGES} SELECT node, count(*) AS degree FROM (SELECT f AS node FROM e UNION ALL SELECT t FROM e) GROUP BY 1"),
@@ -287,6 +356,11 @@ def entries() -> dict:
         "aligned_points": (lambda s, d: spatial.aligned(_layers(s, d), "points/parts", "scaled").select("instance_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), "SELECT CAST(p_partkey AS VARCHAR) AS instance_id, round(p_size * 2.0::DOUBLE, 4) AS x, round(p_retailprice * 0.5::DOUBLE, 4) AS y FROM part"),
         "spatial_overlaps": (lambda s, d: spatial.overlaps(_layers(s, d).points["parts"], SQUARES["slope"]).select("instance_id", "overlaps"), f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, {_inside(SQUARES['slope'])} AS overlaps FROM part"),
         "spatial_join": (lambda s, d: spatial.element_join(_layers(s, d), "points/parts", "shapes/zones").select("instance_id", F.col("shape_instance_id").alias("zone")), _HITS),
+        "shapes_join": (shapes_join, f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, zone FROM part JOIN {_ZONE_BOXES} ON p_size + 1 >= x0 AND p_size - 1 <= x1 AND p_retailprice + 1 >= y0 AND p_retailprice - 1 <= y1"),
+        "spatial_join_left": (spatial_join_left, f"SELECT round(p_size::DOUBLE, 4) AS x, round(p_retailprice, 4) AS y, CASE WHEN p_size > 20 THEN 'far' END AS note, zone FROM part LEFT JOIN ({_HITS}) h ON instance_id = CAST(p_partkey AS VARCHAR) CROSS JOIN range(2)"),
+        "spatial_pairs": (spatial_pairs, f"WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS instance_id, row_number() OVER (ORDER BY p_partkey) AS row FROM part) SELECT row, CASE zone WHEN 'low' THEN 1::BIGINT WHEN 'mid' THEN 2 ELSE 3 END AS column FROM a JOIN ({_HITS}) h USING (instance_id)"),
+        "polygon_subset_shapes": (polygon_subset_shapes, "SELECT CAST(p_partkey AS VARCHAR) AS instance_id FROM part WHERE p_size + 1 >= 5 AND p_size - 1 <= 30.5 AND p_retailprice + 1 >= 902 AND p_retailprice - 1 <= 912.5 UNION ALL SELECT 'low'"),
+        "geo_layer": (geo_layer, f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, 'frame' AS zone FROM part WHERE {_FRAME}"),
         "polygon_match": (lambda s, d: spatial.spatial_match(_layers(s, d).points["parts"], _layers(s, d).shapes["zones"], "instance_id", "instance_id"), f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, min(zone) AS match FROM part LEFT JOIN ({_HITS}) h ON h.instance_id = CAST(p_partkey AS VARCHAR) GROUP BY 1"),
         "bbox_subset": (bbox_subset, "SELECT p_partkey AS part, coalesce(sum(l_quantity), 0::DOUBLE) AS total FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 910 AND 980 GROUP BY 1"),
         "polygon_subset": (polygon_subset, f"SELECT CAST(p_partkey AS VARCHAR) AS instance_id, p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE {_inside(SQUARES['slope'])}"),
@@ -296,7 +370,7 @@ def entries() -> dict:
         "layer_extent": (lambda s, d: s.createDataFrame([spatial.extent([_layers(s, d).points["parts"]])]).select("x_min", "x_max", "y_min", "y_max"), "SELECT min(p_size)::DOUBLE AS x_min, max(p_size)::DOUBLE AS x_max, min(p_retailprice) AS y_min, max(p_retailprice) AS y_max FROM part"),
         "matrix_sums": (lambda s, d: _sales(s, d).map(lambda v: (v > 20).cast("double"), 0.0).sums("feature").select("feature", F.col("sum").cast("long").alias("above")), "SELECT p_partkey AS feature, (SELECT count(*) FROM (SELECT l_suppkey FROM lineitem WHERE l_partkey = p_partkey GROUP BY 1 HAVING sum(l_quantity) > 20)) AS above FROM part"),
         "roundtrip_ranges": (roundtrip_ranges, "SELECT o_orderpriority AS seqname, o_orderkey + 1 AS start, o_orderkey + 10 AS \"end\", '+' AS strand, o_custkey FROM orders"),
-        "roundtrip_ranges_list": (roundtrip_ranges_list, "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey + 9) AS BIGINT) AS ends FROM orders GROUP BY 1"),
+        "roundtrip_ranges_list": (roundtrip_ranges_list, "SELECT o_custkey, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderpriority AS seqname, o_orderkey AS start, o_orderkey + 9 AS \"end\", '*' AS strand FROM orders"),
         "roundtrip_transposed": (roundtrip_transposed, "SELECT CAST(s_suppkey AS VARCHAR) AS sample, 'balance' AS feature, s_acctbal AS value FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'nation', s_nationkey::DOUBLE FROM supplier"),
         "roundtrip_graph": (roundtrip_graph, f'{_EDGES} SELECT f AS "from", t AS "to", orders, (SELECT count(*) FROM supplier) AS nodes FROM e'),
         "roundtrip_labels": (roundtrip_labels, "SELECT p_partkey AS row, p_size AS column, p_size % 3 AS value FROM part WHERE p_size % 3 <> 0"),

@@ -6,6 +6,8 @@ from __future__ import annotations
 import re
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,22 +29,77 @@ def to_wkb(ring: list[tuple[float, float]]) -> bytes:
     return struct.pack("<BIII", 1, 3, 1, len(closed)) + b"".join(struct.pack("<dd", *p) for p in closed)
 
 
-def from_wkb(data: bytes) -> list[tuple[float | None, float | None]]:
-    """The ring of a polygon, without its closing vertex. If it has holes: all rings, each closed and followed by a vertex of
-    nulls, so that no edge leads from one to the next."""
-    order = "<" if data[0] else ">"
-    kind, count = struct.unpack_from(f"{order}II", data, 1)
-    if kind != 3 or count < 1:
-        raise ValueError("a polygon is needed")
-    rings, at = [], 9
-    for _ in range(count):
-        (n,) = struct.unpack_from(f"{order}I", data, at)
-        rings.append([struct.unpack_from(f"{order}dd", data, at + 4 + 16 * k) for k in range(n)])
-        at += 4 + 16 * n
-    if count > 1:
-        return [v for ring in rings if ring for v in (*ring, *ring[: ring[0] != ring[-1]], (None, None))]
+def from_wkb(data: bytes) -> np.ndarray:
+    """Vertices (x, y) of a point, polygon or multipolygon in well-known binary. A point is one vertex; a polygon of one ring that ring,
+    without its closing vertex; else all rings, each closed and followed by a vertex of nans, so that no edge leads on."""
+    rings, at = [], 0
+
+    def geometry() -> int:
+        nonlocal at
+        order = "<" if data[at] else ">"
+        (kind,) = struct.unpack_from(f"{order}I", data, at + 1)
+        width = {0: 2, 1: 3, 2: 3, 3: 4}.get(kind // 1000 % 10)
+        at += 5
+        if kind & 0x20000000:  # an SRID follows
+            at += 4
+        if kind & 0xC0000000:
+            width = 2 + (kind >> 31 & 1) + (kind >> 30 & 1)
+        kind = kind & 0x0FFFFFFF & 0xFFFF
+        kind %= 1000
+
+        def vertices(n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, f"{order}f8", n * width, at).reshape(n, width)[:, :2].astype(float)
+            at += 8 * n * width
+            return out
+
+        if kind == 1:
+            rings.append(vertices(1))
+        elif kind in (3, 6):
+            (count,) = struct.unpack_from(f"{order}I", data, at)
+            at += 4
+            for _ in range(count):
+                if kind == 6:
+                    if geometry() != 3:
+                        raise ValueError("a multipolygon holds polygons")
+                    continue
+                (n,) = struct.unpack_from(f"{order}I", data, at)
+                at += 4
+                rings.append(vertices(n))
+        else:
+            raise ValueError("a point, polygon or multipolygon is needed")
+        return kind
+
+    kind = geometry()
+    rings = [r for r in rings if len(r)]
+    if kind == 1 or not rings:
+        return rings[0] if rings else np.zeros((0, 2))
+    if len(rings) > 1:
+        gap = np.full((1, 2), np.nan)
+        return np.concatenate([part for r in rings for part in (r, r[:1] if (r[0] != r[-1]).any() else r[:0], gap)])
     ring = rings[0]
-    return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+    return ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+
+
+def polygons_from_wkb(column: pa.Array) -> pa.Array:
+    """The vertex arrays of well-known binary geometries; null for null."""
+    found = [None if g is None else from_wkb(g) for g in column.to_pylist()]
+    ends = np.cumsum([0, *(0 if f is None else len(f) for f in found)])
+    flat = np.concatenate([np.zeros((0, 2)), *(f for f in found if f is not None)])
+    gaps = np.isnan(flat).any(axis=1)
+    x, y = (pa.array(flat[:, k], mask=gaps) for k in (0, 1))
+    offsets = pa.array(ends.astype(np.int32), mask=np.array([*(f is None for f in found), False]))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([x, y], ["x", "y"]))
+
+
+def wkb_polygons(column: str) -> Column:
+    """A column of well-known binary as vertex arrays, an Arrow batch at a time."""
+
+    @F.arrow_udf(POLYGON)
+    def parse(geometry: pa.Array) -> pa.Array:
+        return polygons_from_wkb(geometry)
+
+    return parse(column)
 
 
 def polygon(ring: list[tuple[float, float]]) -> Column:
@@ -71,29 +128,35 @@ def contains(shape: Column, x: Column, y: Column) -> Column:
     return (hits >= 1 << 20) | (hits % 2 == 1)
 
 
-def intersects(shape: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a polygon and that of the ring have a point in common: a vertex of one is in the other, or edges meet."""
-    xs, ys = zip(*ring, strict=True)
-    a, b, c, d = box(shape)
-    boxed = (b >= min(xs)) & (a <= max(xs)) & (d >= min(ys)) & (c <= max(ys))
-    edges = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*p, *q), strict=True))) for p, q in zip(ring, [*ring[1:], ring[0]], strict=True)))
-    n = F.size(shape)
+def intersects(shape: Column, other: Column | list[tuple[float, float]]) -> Column:
+    """Whether two polygons have a point in common: a vertex of one is in the other, or edges meet."""
+    other = other if isinstance(other, Column) else polygon(other)
+    (a, b, c, d), (e, f, g, h) = box(shape), box(other)
+    boxed = (b >= e) & (a <= f) & (d >= g) & (c <= h)
+    n, m = F.size(shape), F.size(other)
+
+    def before(polygon: Column, size: Column, i: Column) -> Column:
+        return F.element_at(polygon, F.when(i == 0, size).otherwise(i).cast("int"))
 
     def meets(p: Column, i: Column) -> Column:
-        q = F.element_at(shape, F.when(i == 0, n).otherwise(i).cast("int"))  # the vertex before
+        q = before(shape, n, i)
+
+        def meet(r: Column, j: Column) -> Column:
+            s = before(other, m, j)
+
+            def side(u: Column, v: Column, w: Column) -> Column:
+                return F.signum((v["x"] - u["x"]) * (w["y"] - u["y"]) - (v["y"] - u["y"]) * (w["x"] - u["x"]))
 
-        def meet(e: Column) -> Column:
-            def side(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
-                return F.signum((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+            apart = F.lit(False)
+            for k in "xy":
+                apart = apart | (F.greatest(p[k], q[k]) < F.least(r[k], s[k])) | (F.least(p[k], q[k]) > F.greatest(r[k], s[k]))
+            whole = p["x"].isNotNull() & q["x"].isNotNull() & r["x"].isNotNull() & s["x"].isNotNull()
+            return whole & ~apart & (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)
 
-            apart = (F.greatest(p["x"], q["x"]) < F.least(e["x0"], e["x1"])) | (F.least(p["x"], q["x"]) > F.greatest(e["x0"], e["x1"])) | (F.greatest(p["y"], q["y"]) < F.least(e["y0"], e["y1"])) | (F.least(p["y"], q["y"]) > F.greatest(e["y0"], e["y1"]))
-            own = side(p["x"], p["y"], q["x"], q["y"], e["x0"], e["y0"]) * side(p["x"], p["y"], q["x"], q["y"], e["x1"], e["y1"])
-            other = side(e["x0"], e["y0"], e["x1"], e["y1"], p["x"], p["y"]) * side(e["x0"], e["y0"], e["x1"], e["y1"], q["x"], q["y"])
-            return p["x"].isNotNull() & q["x"].isNotNull() & ~apart & (own <= 0) & (other <= 0)
+        return F.exists(F.transform(other, meet), lambda hit: F.coalesce(hit, F.lit(False)))
 
-        return F.coalesce(F.exists(edges, meet), F.lit(False))
+    def has_vertex_of(outer: Column, inner: Column) -> Column:
+        return F.exists(inner, lambda v: v["x"].isNotNull() & F.coalesce(contains(outer, v["x"], v["y"]), F.lit(False)))
 
-    cross = F.exists(F.transform(shape, meets), lambda m: m)
-    held = F.exists(shape, lambda v: v["x"].isNotNull() & F.coalesce(contains(polygon(ring), v["x"], v["y"]), F.lit(False)))
-    holds = F.exists(polygon(ring), lambda v: contains(shape, v["x"], v["y"]))
-    return F.coalesce(boxed, F.lit(False)) & (held | cross | holds)
+    cross = F.exists(F.transform(shape, meets), lambda hit: hit)
+    return F.coalesce(boxed, F.lit(False)) & F.coalesce(has_vertex_of(other, shape) | has_vertex_of(shape, other) | cross, F.lit(False))

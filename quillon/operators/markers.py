@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import kernels as K
+from quillon.operators.linear import least_squares
 from quillon.operators.moments import THRESHOLD, moments
 from quillon.plans.matrix import SparseMatrix
+from quillon.sources import files
 
 LEAST_VAR = 1e-8
 
@@ -68,6 +70,8 @@ def directed(left: Column, right: Column, direction: str) -> Column:
 
 def bh(df: DataFrame, keys: Sequence[str], log_p: str, out: str) -> DataFrame:
     """Adds Benjamini-Hochberg adjusted log p-values within the keys: a reverse running minimum of p + ln(n / rank)."""
+    if not keys:
+        return _bh_of_all(df, log_p, out)
     up = Window.partitionBy(*keys).orderBy(F.col(log_p).asc_nulls_last(), "feature")
     down = Window.partitionBy(*keys).orderBy(F.col(log_p).desc_nulls_first(), F.desc("feature")).rowsBetween(Window.unboundedPreceding, 0)
     n = F.count(log_p).over(Window.partitionBy(*keys))
@@ -75,6 +79,26 @@ def bh(df: DataFrame, keys: Sequence[str], log_p: str, out: str) -> DataFrame:
     return df.withColumn("__raw", raw).withColumn(out, F.when(F.col(log_p).isNotNull(), F.least(F.lit(0.0), F.min("__raw").over(down)))).drop("__raw")
 
 
+def _bh_of_all(df: DataFrame, log_p: str, out: str) -> DataFrame:
+    """bh() over all rows, in ranges of p: a range takes its ranks from the sizes of those before, and the minimum of those after it."""
+    order = [F.col(log_p).asc_nulls_last(), F.col("feature")]
+    held = files.written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "bh")
+    sizes = {r["__part"]: r["n"] for r in held.groupBy("__part").agg(F.count(log_p).alias("n")).collect()}
+    parts = range(max(sizes, default=-1) + 1)
+    before = [sum(sizes.get(q, 0) for q in range(p)) for p in parts] or [0]
+
+    def of(values: list) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.col("__part"))
+
+    up = Window.partitionBy("__part").orderBy(*order)
+    rank = (F.row_number().over(up) + of(before)).cast("double")
+    held = held.withColumn("__raw", F.when(F.col(log_p).isNotNull(), F.col(log_p) + F.ln(F.lit(float(sum(sizes.values()))) / rank)))
+    least = {r["__part"]: r["least"] for r in held.groupBy("__part").agg(F.min("__raw").alias("least")).collect()} if len(parts) > 1 else {}
+    after = [min((v for q, v in least.items() if q > p and v is not None), default=0.0) for p in parts] or [0.0]
+    down = Window.partitionBy("__part").orderBy(F.col(log_p).desc_nulls_first(), F.desc("feature")).rowsBetween(Window.unboundedPreceding, 0)
+    return held.withColumn(out, F.when(F.col(log_p).isNotNull(), F.least(F.lit(0.0), F.min("__raw").over(down), of(after)))).drop("__raw", "__part")
+
+
 def _combined(tests: DataFrame, direction: str) -> DataFrame:
     """Blocks of a pair joined: Stouffer's method for each tail, weighted means of effects; null where no block is valid."""
     ok = F.col("left").isNotNull()
@@ -101,10 +125,43 @@ def _stats(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None, thresho
     return moments(m, keys, threshold)
 
 
-def pairwise_t_tests(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None, restrict=None, exclude=None, direction: str = "any", lfc: float = 0.0, std_lfc: bool = False, log_p: bool = False) -> DataFrame:
+def in_order_of_pairs(tests: DataFrame, levels: Sequence | None = None) -> DataFrame:
+    """Tests sorted by first and second group, in the order of levels if given (others last), then by feature."""
+    place = [F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, levels)), F.col(c)), F.lit(0)), F.lit(1 << 30)) if levels else F.col(c) for c in ("first", "second")]
+    return tests.orderBy(*place, "first", "second", "feature")
+
+
+def _with_design(m: SparseMatrix, groups: DataFrame, design: DataFrame) -> DataFrame:
+    """Pairs of groups with the difference of their coefficients beside those of design (delta), its squared error and the residual
+    degrees of freedom; var: the residual variance."""
+    groups = groups.join(m.samples.select("sample"), "sample", "left_semi").join(design.dropna().select("sample"), "sample", "left_semi")
+    names = [r["group"] for r in groups.select("group").distinct().orderBy("group").collect()]  # a column each
+    covariates = [c for c in design.columns if c != "sample"]
+    ends = design.agg(*(f(f"`{c}`").alias(f"{n}{k}") for k, c in enumerate(covariates) for n, f in (("lo", F.min), ("hi", F.max)))).first() if covariates else {}
+    varying = [c for k, c in enumerate(covariates) if ends[f"lo{k}"] != ends[f"hi{k}"]]  # an intercept is the sum of the groups
+    x = groups.join(design.select("sample", *(f"`{c}`" for c in varying)), "sample").select("sample", *((F.col("group") == g).cast("double").alias(f"__g{k}") for k, g in enumerate(names)), *(f"`{c}`" for c in varying))
+    fit, inverse, _, df = least_squares(m, x)
+    sigma2 = F.greatest(F.col("rss") / float(df), F.lit(LEAST_VAR))
+    rows = [
+        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col("coef")[i] - F.col("coef")[j]).alias("delta"), (sigma2 * float(inverse[i, i] + inverse[j, j] - 2 * inverse[i, j])).alias("err2"), sigma2.alias("var"))
+        for i, a in enumerate(names) for j, b in enumerate(names) if i != j
+    ]
+    return fit.select("feature", F.explode(F.array(*rows)).alias("one")).select("feature", "one.*", F.lit(float(df)).alias("df"))
+
+
+def pairwise_t_tests(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None = None, restrict=None, exclude=None, direction: str = "any", lfc: float = 0.0, std_lfc: bool = False, log_p: bool = False, design: DataFrame | None = None) -> DataFrame:
     """(feature, first, second, effect, p_value, fdr): Welch tests of each ordered pair. groups: (sample, group); blocks:
-    (sample, block), tested apart and combined. With lfc the null hypothesis is a difference within it."""
+    (sample, block), tested apart and combined. With lfc the null hypothesis is a difference within it. With design (sample, then
+    numbers) groups are compared by a linear model that has these columns too, with one residual variance for a feature."""
     blocked = blocks is not None
+    if design is not None:
+        if blocked:
+            raise ValueError("blocks and a design can't be used together")
+        tests = _with_design(m, chosen_groups(groups, restrict, exclude), design)
+        err = F.sqrt("err2")
+        tests = tests.withColumn("tails", K.t_tails((F.col("delta") + lfc) / err, (F.col("delta") - lfc) / err if lfc else None, F.col("df")))
+        tests = tests.withColumns({"left": F.col("tails.left"), "right": F.col("tails.right")}).withColumn("effect", F.col("delta") / F.sqrt("var") if std_lfc else F.col("delta"))
+        return _finished(tests, False, direction, log_p, tests)
     stats = _stats(m, chosen_groups(groups, restrict, exclude), blocks, THRESHOLD)
     tests = welch(_pairs(stats, ["n", "mean", "var"], blocked))
     err = F.sqrt("err2")

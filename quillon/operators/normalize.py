@@ -27,11 +27,15 @@ def geometric_size_factors(m: SparseMatrix, pseudo_count: float = 1.0) -> DataFr
 
 
 def _scaled(m: SparseMatrix, factors: DataFrame) -> SparseMatrix:
-    """Values over their sample's factor (null where that is 0)."""
+    """Values over their sample's factor (null where that is 0). A fill value other than 0 needs factors that are all equal."""
+    fill = 0.0
     if m.fill != 0:
-        raise ValueError("dividing by size factors needs a fill value of 0: other fill values would differ by sample")
+        ends = factors.join(m.samples.select("sample"), "sample", "left_semi").agg(F.min("size_factor").alias("low"), F.max("size_factor").alias("high"), F.count("size_factor").alias("n")).first()
+        if not ends["n"] or ends["n"] < m.n_samples or ends["low"] <= 0 or ends["high"] - ends["low"] > 1e-12 * ends["high"]:
+            raise ValueError("size factors that differ need a fill value of 0: other fill values would differ by sample")
+        fill = m.fill / ends["low"]
     cells = m.cells.join(factors, "sample").select("feature", "sample", F.try_divide(F.col("value").cast("double"), F.col("size_factor")).alias("value"))
-    return SparseMatrix(cells, m.features, m.samples, 0.0)
+    return SparseMatrix(cells, m.features, m.samples, fill)
 
 
 def normalized(m: SparseMatrix, size_factors: DataFrame | None = None, log_transform: bool = True, transform: str = "log", pseudo_count: float = 1.0, center: bool = True) -> SparseMatrix:
@@ -41,10 +45,10 @@ def normalized(m: SparseMatrix, size_factors: DataFrame | None = None, log_trans
     if not log_transform or transform == "none":
         return y
     if transform == "asinh":
-        return y.map(lambda v: F.asinh(v) / log(2), asinh(0.0))
+        return y.map(lambda v: F.asinh(v) / log(2), asinh(y.fill) / log(2))
     if transform != "log":
         raise ValueError(f"no transform {transform!r}")
-    return y.map(lambda v: F.ln(v + pseudo_count) / log(2), log(pseudo_count) / log(2))
+    return y.map(lambda v: F.ln(v + pseudo_count) / log(2), log(y.fill + pseudo_count) / log(2))
 
 
 def cpm(m: SparseMatrix, size_factors: DataFrame | None = None) -> SparseMatrix:

@@ -55,8 +55,16 @@ def _basics(m: SparseMatrix, axis: str, sets, threshold: float) -> tuple[DataFra
     return out, names
 
 
-def per_sample_qc(m: SparseMatrix, subsets=None, percent_top: Sequence[int] = (), threshold: float = 0.0) -> DataFrame:
-    """sample, sum, detected, percent_top_<n>, subsets_<set>_sum, _detected and _percent. Shares of a zero total are null."""
+def nested(flat: DataFrame, key: str, names: Sequence[str], fields: Sequence[str], tops: Sequence[int] = ()) -> DataFrame:
+    """The flat columns as structs: percent_top (a field for each number), subsets (a struct for each set)."""
+    top = [F.struct(*(F.col(f"percent_top_{n}").alias(str(n)) for n in tops)).alias("percent_top")] if tops else []
+    sets = [F.struct(*(F.struct(*(F.col(f"`subsets_{s}_{f}`").alias(f) for f in fields)).alias(s) for s in names)).alias("subsets")] if names else []
+    return flat.select(key, *(c for c in flat.columns if c in ("sum", "mean", "detected")), *top, *sets)
+
+
+def per_sample_qc(m: SparseMatrix, subsets=None, percent_top: Sequence[int] = (), threshold: float = 0.0, flatten: bool = True) -> DataFrame:
+    """sample, sum, detected, percent_top_<n>, subsets_<set>_sum, _detected and _percent. Shares of a zero total are null. Without
+    flatten: structs percent_top and subsets."""
     out, names = _basics(m, "sample", subsets, threshold)
     columns = [F.col("sample"), F.col("sum"), F.col("detected")]
     if tops := sorted(set(percent_top)):
@@ -69,11 +77,13 @@ def per_sample_qc(m: SparseMatrix, subsets=None, percent_top: Sequence[int] = ()
         columns += [(F.try_divide(F.coalesce(f"top{n}", F.lit(0.0)), F.col("sum")) * 100).alias(f"percent_top_{n}") for n in tops]
     for i, s in enumerate(names):
         columns += [F.col(f"sum{i}").alias(f"subsets_{s}_sum"), F.col(f"detected{i}").alias(f"subsets_{s}_detected"), (F.try_divide(f"sum{i}", "sum") * 100).alias(f"subsets_{s}_percent")]
-    return out.select(*columns)
+    out = out.select(*columns)
+    return out if flatten else nested(out, "sample", names, ("sum", "detected", "percent"), tops)
 
 
-def per_feature_qc(m: SparseMatrix, subsets=None, threshold: float = 0.0) -> DataFrame:
-    """feature, mean, detected (percent), and for each set of samples subsets_<set>_mean, _detected (percent) and _ratio."""
+def per_feature_qc(m: SparseMatrix, subsets=None, threshold: float = 0.0, flatten: bool = True) -> DataFrame:
+    """feature, mean, detected (percent), and for each set of samples subsets_<set>_mean, _detected (percent) and _ratio. Without
+    flatten: a struct subsets."""
     out, names = _basics(m, "feature", subsets, threshold)
     n = F.lit(float(m.n_samples))
     mean = F.try_divide(F.col("sum"), n)
@@ -81,4 +91,5 @@ def per_feature_qc(m: SparseMatrix, subsets=None, threshold: float = 0.0) -> Dat
     for i, s in enumerate(names):
         own = F.try_divide(F.col(f"sum{i}"), F.col(f"size{i}").cast("double"))
         columns += [own.alias(f"subsets_{s}_mean"), (F.try_divide(F.col(f"detected{i}"), F.col(f"size{i}").cast("double")) * 100).alias(f"subsets_{s}_detected"), F.try_divide(own, mean).alias(f"subsets_{s}_ratio")]
-    return out.select(*columns)
+    out = out.select(*columns)
+    return out if flatten else nested(out, "feature", names, ("mean", "detected", "ratio"))

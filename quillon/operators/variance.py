@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from quillon.functions import kernels as K
 from quillon.functions.trend import NONE, Trend, fit_trend_cv2, fit_trend_var, poisson_means, poisson_moments
 from quillon.operators import normalize
+from quillon.operators.linear import residual_variance
 from quillon.operators.markers import bh, capped
 from quillon.operators.moments import moments
 from quillon.plans.matrix import SparseMatrix
+from quillon.sources import files
 
 #: Size factors for which counts are simulated in one task.
 GROUP = 10_000
 
 
 def _fits(stats: DataFrame, blocked: bool, fit) -> dict:
-    """A trend for each block (None: all), fitted on all its features: two numbers for each are collected, block by block."""
+    """A trend for each block (None: all), fitted on all its features: blocks are fitted in parallel, each from two numbers for a feature;
+    the knots are collected."""
+    rows = stats.where("n >= 2").select(*["block"] * blocked, "mean", "var")
     if not blocked:
-        rows = stats.where("n >= 2").select("mean", "var").toPandas().sort_values(["mean", "var"])
-        return {None: fit(rows["mean"].to_numpy(float), rows["var"].to_numpy(float)) if len(rows) else NONE}
-    blocks = [r["block"] for r in stats.where("n >= 2").select("block").distinct().collect()]
-    return {b: _fits(stats.where(F.col("block") == b), False, fit)[None] for b in blocks}
+        local = rows.toPandas().sort_values(["mean", "var"])
+        return {None: fit(local["mean"].to_numpy(float), local["var"].to_numpy(float)) if len(local) else NONE}
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["mean", "var"])
+        t = fit(own["mean"].to_numpy(float), own["var"].to_numpy(float))
+        return pd.DataFrame({"block": own["block"].iloc[:1], "knots": [t.knots.tolist()], "values": [t.values.tolist()], "std_dev": [t.std_dev]})
+
+    schema = f"block {stats.schema['block'].dataType.simpleString()}, knots array<double>, values array<double>, std_dev double"
+    return {r["block"]: Trend(np.array(r["knots"], float), np.array(r["values"], float), r["std_dev"]) for r in rows.groupBy("block").applyInPandas(one, schema).collect()}
 
 
 def _decomposed(stats: DataFrame, fits: dict, blocked: bool, ratio: bool) -> DataFrame:
@@ -75,19 +85,25 @@ def _over_blocks(done: DataFrame, blocked: bool, equiweight: bool, method: str,
 
 
 def _finished(done: DataFrame, ratio: bool) -> DataFrame:
-    done = bh(done.withColumn("__all", F.pmod(F.lit(0), F.lit(1))), ["__all"], "log_p", "log_fdr")
+    done = bh(done, [], "log_p", "log_fdr")
     last = [F.col("trend"), F.try_divide("total", "trend").alias("ratio")] if ratio else [F.col("trend").alias("tech"), (F.col("total") - F.col("trend")).alias("bio")]
     return done.select("feature", "mean", "total", *last, F.exp("log_p").alias("p_value"), F.exp("log_fdr").alias("fdr"))
 
 
-def _stats(m: SparseMatrix, blocks: DataFrame | None) -> DataFrame:
-    return moments(m, None if blocks is None else blocks.select("sample", "block"))
+def _stats(m: SparseMatrix, blocks: DataFrame | None, design: DataFrame | None = None) -> DataFrame:
+    """Means and variances, computed once."""
+    if design is not None:
+        if blocks is not None:
+            raise ValueError("blocks and a design can't be used together")
+        return files.written(residual_variance(m, design), "variance")
+    return files.written(moments(m, None if blocks is None else blocks.select("sample", "block")), "variance")
 
 
-def model_gene_var(m: SparseMatrix, blocks: DataFrame | None = None, subset_fit=None, equiweight: bool = True, method: str = "fisher") -> DataFrame:
-    """(feature, mean, total, tech, bio, p_value, fdr) of log values: the trend of variance over mean, fitted on subset_fit."""
-    stats = _stats(m, blocks)
-    fits = _fits(stats if subset_fit is None else _stats(m.subset(features=subset_fit), blocks), blocks is not None, fit_trend_var)
+def model_gene_var(m: SparseMatrix, blocks: DataFrame | None = None, subset_fit=None, equiweight: bool = True, method: str = "fisher", design: DataFrame | None = None) -> DataFrame:
+    """(feature, mean, total, tech, bio, p_value, fdr) of log values: the trend of variance over mean, fitted on subset_fit. With design
+    (sample, then numbers) variances are those left by a linear fit of its columns."""
+    stats = _stats(m, blocks, design)
+    fits = _fits(stats if subset_fit is None else _stats(m.subset(features=subset_fit), blocks, design), blocks is not None, fit_trend_var)
     done = _decomposed(stats.withColumnRenamed("var", "total"), fits, blocks is not None, False)
     return _finished(_over_blocks(done, blocks is not None, equiweight, method, False), False)
 
@@ -115,11 +131,11 @@ def _simulated(factors: DataFrame, means: np.ndarray, points: int, dispersion: f
     return np.log2(mu + pseudo_count), var
 
 
-def model_gene_var_by_poisson(m: SparseMatrix, size_factors: DataFrame | None = None, blocks: DataFrame | None = None, points: int = 1000, dispersion: float = 0.0, pseudo_count: float = 1.0, equiweight: bool = True, method: str = "fisher", seed: int = 1) -> DataFrame:
+def model_gene_var_by_poisson(m: SparseMatrix, size_factors: DataFrame | None = None, blocks: DataFrame | None = None, points: int = 1000, dispersion: float = 0.0, pseudo_count: float = 1.0, equiweight: bool = True, method: str = "fisher", seed: int = 1, design: DataFrame | None = None) -> DataFrame:
     """As model_gene_var(), of counts: they are log-normalised, and the trend is that of simulated Poisson (or, with a
     dispersion, negative binomial) counts, one for all blocks. Size factors are centred for both."""
     factors = normalize.library_size_factors(m) if size_factors is None else normalize.centred(size_factors)
-    stats = _stats(normalize.normalized(m, factors, pseudo_count=pseudo_count, center=False), blocks)
+    stats = _stats(normalize.normalized(m, factors, pseudo_count=pseudo_count, center=False), blocks, design)
     ends = stats.where("mean > 0").agg(F.min("mean").alias("low"), F.max("mean").alias("high")).first()
     means = np.array([x for x in ends if x is not None], float)
     fit = fit_trend_var(*_simulated(factors.where("size_factor > 0"), means, points, dispersion, pseudo_count, seed), min_mean=0.0)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ class SparseMatrix:
         grid = self.features.select("feature").crossJoin(self.samples.select("sample"))
         return grid.join(self.cells, ["feature", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(self.fill)))
 
+    def realized(self, limit: int = 10_000_000) -> pd.DataFrame:
+        """The whole matrix on the driver, features by samples in the order of their keys; an error if it has more cells than limit."""
+        if (size := self.n_features * self.n_samples) > limit:
+            raise ValueError(f"the matrix has {size} cells, more than {limit}")
+        wide = self.dense().toPandas().pivot(index="feature", columns="sample", values="value")
+        return wide.sort_index(axis=0).sort_index(axis=1)
+
+    def in_order(self, frame: DataFrame, axis: str = "feature", index: str = "__index__") -> DataFrame:
+        """A result sorted as the axis: by the row numbers of its table if it has them, else by key; further columns break ties."""
+        dim = getattr(self, f"{axis}s")
+        rest = [F.col(f"`{c}`") for c, t in frame.dtypes if c != axis and t.split("<")[0] not in ("map", "array", "struct")]
+        if index not in dim.columns:
+            return frame.orderBy(axis, *rest)
+        return frame.join(dim.select(axis, F.col(index).alias("__place")), axis).orderBy("__place", *rest).select(*frame.columns)
+
     def sums(self, axis: str = "feature") -> DataFrame:
         """(key, sum, mean) for each key of the axis."""
         n = self.n_samples if axis == "feature" else self.n_features

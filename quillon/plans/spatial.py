@@ -1,7 +1,8 @@
 """Spatial layers of a multi-assay experiment: points and shapes, the map from observations to them, and queries over both.
 
-Joins of points with polygons meet in a grid: a polygon goes to the cells that its box touches, a point to its own, and the
-exact predicate runs on pairs that share a cell. The cell size is the mean extent of the boxes.
+Layers meet in grids: a shape goes to the cells that its box touches in the finest grid where these are few, and to those in the
+coarser grids that are in use; a point to its own cell of each. The exact predicate runs on pairs whose boxes meet, each once. The
+finest cells have the mean extent of the boxes; each further grid has cells of twice the side.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import geometry as G
 from quillon.plans.containers import MultiAssay
+from quillon.sources import files
+from quillon.sources.writer import positions
 
 MAP = ("assay", "colname", "element_type", "region", "instance_id")
-#: Cells of the grid that one polygon may go to; a larger one is tested by its box.
-MAX_CELLS = 10_000
 
 
 @dataclass
@@ -171,45 +172,82 @@ def aligned(x: SpatialExperiment, element: str, system: str) -> DataFrame:
 # --- joins ----------------------------------------------------------------------------------
 
 
-def overlaps(points: DataFrame, shape: str | list | Column, x: str = "x", y: str = "y") -> DataFrame:
-    """points with a boolean column overlaps: whether the point is in the shape (WKT, a ring, or a polygon column)."""
+def overlaps(layer: DataFrame, shape: str | list | Column, x: str = "x", y: str = "y", geometry: str = "geometry") -> DataFrame:
+    """The layer with a boolean column overlaps: whether the point, or the shape, has a point in common with the shape (WKT, a ring, or
+    a polygon column)."""
     ring = G.parse_wkt(shape) if isinstance(shape, str) else shape
-    return points.withColumn("overlaps", F.coalesce(G.contains(ring if isinstance(ring, Column) else G.polygon(ring), F.col(x), F.col(y)), F.lit(False)))
-
-
-def spatial_join(points: DataFrame, shapes: DataFrame, predicate=None, x: str = "x", y: str = "y", geometry: str = "geometry", how: str = "inner") -> DataFrame:
-    """Columns of points and of shapes (prefixed shape_) of all pairs for which the predicate (shape, x, y) holds: a point in or on
-    a polygon by default. Null coordinates and geometries meet nothing."""
-    test = predicate or G.contains
-    s = shapes.select(*(F.col(c).alias(f"shape_{c}") for c in shapes.columns))
-    geom = F.col(f"shape_{geometry}")
-    x0, x1, y0, y1 = G.box(geom)
-    s = s.withColumns({"__x0": x0, "__x1": x1, "__y0": y0, "__y1": y1})
-    mean = s.agg(F.avg(F.col("__x1") - F.col("__x0")).alias("w"), F.avg(F.col("__y1") - F.col("__y0")).alias("h")).first()
-    w, h = (float(v) if v else 1.0 for v in (mean["w"], mean["h"]))
+    ring = ring if isinstance(ring, Column) else G.polygon(ring)
+    hit = G.intersects(F.col(geometry), ring) if geometry in layer.columns else G.contains(ring, F.col(x), F.col(y))
+    return layer.withColumn("overlaps", F.coalesce(hit, F.lit(False)))
 
-    def cell(c: str | Column, size: float) -> Column:
-        return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("long")
-
-    n = (cell("__x1", w) - cell("__x0", w) + 1) * (cell("__y1", h) - cell("__y0", h) + 1)
-    small = s.where(n <= MAX_CELLS).withColumn("__cx", F.explode(F.sequence(cell("__x0", w), cell("__x1", w)))).withColumn("__cy", F.explode(F.sequence(cell("__y0", h), cell("__y1", h))))
-    held = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    inside = test(geom, F.col(x), F.col(y))
-    columns = [*points.columns, *(f"shape_{c}" for c in shapes.columns)]
-    out = held.withColumns({"__cx": cell(x, w), "__cy": cell(y, h)}).join(small, ["__cx", "__cy"]).where(inside).select(*columns)
-    large = s.where(n > MAX_CELLS)
-    if large.take(1):
-        boxed = (F.col(x) >= F.col("__x0")) & (F.col(x) <= F.col("__x1")) & (F.col(y) >= F.col("__y0")) & (F.col(y) <= F.col("__y1"))
-        out = out.unionByName(held.join(large, boxed).where(inside).select(*columns))
-    if how == "left":
-        return points.join(out, points.columns, "left").select(*columns)
-    return out
+
+_BOX = ("__x0", "__x1", "__y0", "__y1")
+
+
+def _boxed(layer: DataFrame, x: str, y: str, geometry: str) -> DataFrame:
+    """With the box of each row (__x0, ...); rows without one drop out."""
+    ends = G.box(F.col(geometry)) if geometry in layer.columns else (F.col(x), F.col(x), F.col(y), F.col(y))
+    return layer.withColumns(dict(zip(_BOX, (e.cast("double") for e in ends), strict=True))).dropna(subset=list(_BOX))
 
 
-def spatial_match(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str, predicate=None, **options) -> DataFrame:
-    """(point_id, match): the smallest id of a shape that the point is in, or null."""
-    hits = spatial_join(points, shapes, predicate, **options).groupBy(point_id).agg(F.min(f"shape_{shape_id}").alias("match"))
-    return points.select(point_id).join(hits, point_id, "left")
+def spatial_join(layer: DataFrame, shapes: DataFrame, predicate=None, x: str = "x", y: str = "y", geometry: str = "geometry", how: str = "inner") -> DataFrame:
+    """Columns of a layer (points, or shapes if it has a geometry) and of shapes (prefixed shape_) of all pairs for which the predicate
+    holds: of (shape, x, y) for points, of (shape, geometry) for shapes; by default, that they have a point in common. Null
+    coordinates and geometries meet nothing. how: ``inner``, or ``left``, which keeps rows of the layer that meet nothing."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"no join {how!r}")
+    columns = [*(F.col(f"`{c}`") for c in layer.columns), *(F.col(f"shape_{c}") for c in shapes.columns)]
+    numbered = files.written(layer.withColumn("__row", F.monotonically_increasing_id()), "spatial-left") if how == "left" else layer
+    a = _boxed(numbered, x, y, geometry)
+    b = _boxed(shapes, x, y, geometry).select(*(F.col(c).alias(f"shape_{c}") for c in shapes.columns), *(F.col(c).alias(f"__s{c[2:]}") for c in _BOX))
+    mean = b.agg(F.avg(F.col("__sx1") - F.col("__sx0")).alias("w"), F.avg(F.col("__sy1") - F.col("__sy0")).alias("h")).first()
+    w, h = (float(v) if v else 1.0 for v in (mean["w"], mean["h"]))
+
+    def level(x0: str, x1: str, y0: str, y1: str) -> Column:
+        """The finest grid in which a box meets three cells a side at most."""
+        size = F.greatest((F.col(x1) - F.col(x0)) / w, (F.col(y1) - F.col(y0)) / h) / 2
+        return F.when(size > 1, F.ceil(F.log2(size))).otherwise(0).cast("int")
+
+    a, b = a.withColumn("__la", level(*_BOX)), b.withColumn("__lb", level("__sx0", "__sx1", "__sy0", "__sy1"))
+    used = sorted({r[0] for d, c in ((a, "__la"), (b, "__lb")) for r in d.select(c).distinct().collect()})  # one for each power of two
+
+    def celled(df: DataFrame, own: str, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
+        df = df.withColumn("__level", F.explode(F.filter(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"), lambda k: k >= F.col(own))))
+        side = F.pow(F.lit(2.0), F.col("__level"))
+        for name, lo, hi, size in (("__cx", x0, x1, w), ("__cy", y0, y1, h)):
+            df = df.withColumn(name, F.explode(F.sequence(F.floor(F.col(lo) / (side * size)).cast("long"), F.floor(F.col(hi) / (side * size)).cast("long"))))
+        return df
+
+    met = celled(a, "__la", *_BOX).join(celled(b, "__lb", "__sx0", "__sx1", "__sy0", "__sy1"), ["__level", "__cx", "__cy"])
+    side = F.pow(F.lit(2.0), F.col("__level"))
+    low = (F.greatest("__x0", "__sx0"), F.greatest("__y0", "__sy0"))
+    # In the coarser of the two grids, at the cell of the first corner that both boxes have.
+    once = (F.col("__level") == F.greatest("__la", "__lb")) & (F.col("__cx") == F.floor(low[0] / (side * w))) & (F.col("__cy") == F.floor(low[1] / (side * h)))
+    boxes = (F.col("__x0") <= F.col("__sx1")) & (F.col("__x1") >= F.col("__sx0")) & (F.col("__y0") <= F.col("__sy1")) & (F.col("__y1") >= F.col("__sy0"))
+    shape = F.col(f"shape_{geometry}")
+    if geometry in layer.columns:
+        test = (predicate or G.intersects)(shape, F.col(geometry))
+    else:
+        test = (predicate or G.contains)(shape, F.col(x), F.col(y))
+    met = met.where(once & boxes & test)
+    if how == "inner":
+        return met.select(*columns)
+    found = met.select("__row", *columns[len(layer.columns) :])
+    return numbered.join(found, "__row", "left").select(*columns)
+
+
+def spatial_match(layer: DataFrame, shapes: DataFrame, layer_id: str, shape_id: str, predicate=None, **options) -> DataFrame:
+    """(layer_id, match): the smallest id of a shape that the point or shape meets, or null."""
+    hits = spatial_join(layer, shapes, predicate, **options).groupBy(layer_id).agg(F.min(f"shape_{shape_id}").alias("match"))
+    return layer.select(layer_id).join(hits, layer_id, "left")
+
+
+def spatial_pairs(layer: DataFrame, shapes: DataFrame, layer_id: str, shape_id: str, predicate=None, **options) -> DataFrame:
+    """(row, column): the pairs of spatial_join() as places, from 1, of the rows of both layers in the order of their ids."""
+    a = positions(layer.select(F.col(layer_id).alias("id")), "id").select(F.col("id").alias(layer_id), F.col("position").alias("row"))
+    b = positions(shapes.select(F.col(shape_id).alias("id")), "id").select(F.col("id").alias(f"shape_{shape_id}"), F.col("position").alias("column"))
+    met = spatial_join(layer, shapes, predicate, **options).select(layer_id, f"shape_{shape_id}")
+    return met.join(a, layer_id).join(b, f"shape_{shape_id}").select("row", "column")
 
 
 def element_join(x: SpatialExperiment, points: str, shapes: str, coordinate_system: str | None = None, predicate=None) -> DataFrame:
@@ -311,10 +349,6 @@ def read_layer(spark: SparkSession, path: str, columns: Iterable[str] | None = N
 
 
 def read_geo_layer(spark: SparkSession, path: str, geometry: str = "geometry") -> DataFrame:
-    """A geo-Parquet layer: its well-known-binary polygons as vertex arrays."""
-
-    @F.udf(G.POLYGON)
-    def ring(data):
-        return None if data is None else [{"x": a, "y": b} for a, b in G.from_wkb(bytes(data))]
-
-    return spark.read.parquet(path).withColumn(geometry, ring(geometry))
+    """A geo-Parquet layer: its well-known-binary points, polygons and multipolygons as vertex arrays."""
+    df = spark.read.parquet(path)
+    return df.withColumn(geometry, G.wkb_polygons(geometry))

@@ -177,12 +177,7 @@ def read_resource(spark: SparkSession, path: str, r: dict):
         values = [c for c in df.columns if c not in keys]
         df = df.unpivot(keys, values, "feature", "value")
     if layout == "spatial_shapes" and (geom := schema.get("spatialCoords", {}).get("geometry")) and dict(df.dtypes)[geom] == "binary":
-
-        @F.udf(G.POLYGON)
-        def ring(data):
-            return None if data is None else [{"x": a, "y": b} for a, b in G.from_wkb(bytes(data))]
-
-        df = df.withColumn(geom, ring(geom))
+        df = df.withColumn(geom, G.wkb_polygons(geom))
     return fields.with_fields(df, schema.get("fields", []))
 
 

@@ -1,5 +1,7 @@
 import datetime
 import json
+import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,7 +115,7 @@ def test_borders_and_predicates(spark):
     got = [r["overlaps"] for r in spatial.overlaps(points, "POLYGON ((0 0, 6 0, 6 6, 0 6, 0 0))").collect()]
     assert got == [True, True, True, False, False, False]
     ring = [(0.0, 0.0), (2.0, 0.0), (1.0, 3.0)]
-    assert G.from_wkb(G.to_wkb(ring)) == ring
+    assert [tuple(v) for v in G.from_wkb(G.to_wkb(ring))] == ring
     near = lambda shape, x, y: x < 1000  # noqa: E731  any predicate on pairs that share a cell
     shapes = spark.createDataFrame([("a", square(0.0, 0.0, 6.0))], f"instance_id string, geometry {G.POLYGON}")
     assert spatial.spatial_join(points, shapes, near).count() >= 3
@@ -245,3 +247,72 @@ def test_long_axes_keep_their_labels(spark, tmp_path):
     made = writer.write_array(spark.createDataFrame([(1, 2, 3.0)], "i long, j long, value double"), f"{tmp_path}/a", ["i", "j"], labels={"i": labels})
     field = next(f for f in made["schema"]["fields"] if f["name"] == "i")
     assert [c["label"][0] for c in field["categories"]] == labels
+
+
+def brute_intersects(a, b):
+    """Polygons without holes, as lists of vertices."""
+
+    def side(u, v, w):
+        return (v[0] - u[0]) * (w[1] - u[1]) - (v[1] - u[1]) * (w[0] - u[0])
+
+    def meet(p, q, r, s):
+        apart = any(max(p[k], q[k]) < min(r[k], s[k]) or min(p[k], q[k]) > max(r[k], s[k]) for k in (0, 1))
+        return not apart and side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0
+
+    def inside(poly, x, y):
+        odd = False
+        for (ax, ay), (bx, by) in zip(poly, poly[1:] + poly[:1]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    edges = [list(zip(p, p[1:] + p[:1])) for p in (a, b)]
+    return any(meet(*e, *f) for e in edges[0] for f in edges[1]) or inside(a, *b[0]) or inside(b, *a[0])
+
+
+def test_shapes_with_shapes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def polygon(cx, cy, r):
+        turns = sorted(rng.random() * 6.283 for _ in range(rng.randrange(3, 8)))
+        return [(cx + r * math.cos(t), cy + r * math.sin(t)) for t in turns]
+
+    def some(n):  # sizes from a dot to nearly everything
+        return {f"s{k}": polygon(rng.uniform(0, 100), rng.uniform(0, 100), rng.choice([0.1, 1, 5, 60])) for k in range(n)}
+
+    a, b = some(40), some(50)
+    frames = [spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in p]) for n, p in shapes.items()] + [("null", None)], f"instance_id string, geometry {G.POLYGON}") for shapes in (a, b)]
+    want = sorted((i, j) for i in a for j in b if brute_intersects(a[i], b[j]))
+    got = spatial.spatial_join(*frames).select("instance_id", "shape_instance_id")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    left = spatial.spatial_join(*frames, how="left").select("instance_id", "shape_instance_id").collect()
+    met = {i for i, _ in want}
+    assert sorted(tuple(r) for r in left if r[1]) == want and sorted(r[0] for r in left if r[1] is None) == sorted({*a, "null"} - met)
+    match = {r["instance_id"]: r["match"] for r in spatial.spatial_match(*frames, "instance_id", "instance_id").collect()}
+    assert match == {i: min((j for k, j in want if k == i), default=None) for i in [*a, "null"]}
+    hit = spatial.overlaps(frames[0], [(20, 20), (60, 20), (60, 60)]).where("overlaps").collect()
+    assert sorted(r["instance_id"] for r in hit) == sorted(i for i in a if brute_intersects(a[i], [(20, 20), (60, 20), (60, 60)]))
+    points = spark.createDataFrame([(k, rng.uniform(0, 100), rng.uniform(0, 100)) for k in range(200)], "instance_id long, x double, y double")
+    one = lambda r, p: spatial.overlaps(points.where(F.col("instance_id") == r["instance_id"]), p).first()["overlaps"]
+    joined = spatial.spatial_join(points, frames[1]).select("instance_id", "shape_instance_id").collect()
+    for r in points.limit(3).collect():
+        assert sorted(j for i, j in joined if i == r["instance_id"]) == sorted(j for j in b if one(r, b[j]))
+
+
+def test_kinds_of_binary_geometries(spark, tmp_path):
+    ring = lambda pts: struct.pack("<I", len(pts) + 1) + b"".join(struct.pack("<dd", *p) for p in [*pts, pts[0]])
+    low, high, hole = [(0, 0), (4, 0), (4, 4), (0, 4)], [(10, 10), (12, 10), (11, 12)], [(1, 1), (3, 1), (3, 3), (1, 3)]
+    two = struct.pack("<BII", 1, 6, 2) + struct.pack("<BII", 1, 3, 2) + ring(low) + ring(hole) + struct.pack("<BII", 1, 3, 1) + ring(high)
+    big = struct.pack(">BIdd", 0, 1, 5.0, 6.0)
+    flat = struct.pack("<BII", 1, 1003, 1) + struct.pack("<I", 4) + b"".join(struct.pack("<ddd", x, y, 9.0) for x, y in [(0, 0), (2, 0), (0, 2), (0, 0)])
+    spark.createDataFrame([("two", bytearray(two)), ("point", bytearray(big)), ("deep", bytearray(flat)), ("null", None)], "instance_id string, geometry binary").write.parquet(str(tmp_path / "geo"))
+    layer = spatial.read_geo_layer(spark, str(tmp_path / "geo"))
+    got = {r["instance_id"]: r["geometry"] for r in layer.collect()}
+    assert got["null"] is None and [tuple(v) for v in got["point"]] == [(5.0, 6.0)] and [tuple(v) for v in got["deep"]] == [(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)]
+    points = spark.createDataFrame([("corner", 0.5, 0.5), ("hole", 2.0, 2.0), ("second", 11.0, 11.0), ("point", 5.0, 6.0), ("edge", 1.0, 2.0)], "name string, x double, y double")
+    hits = sorted((r["name"], r["shape_instance_id"]) for r in spatial.spatial_join(points, layer).collect())
+    assert hits == [("corner", "deep"), ("corner", "two"), ("edge", "two"), ("point", "point"), ("second", "two")]
+    with pytest.raises(ValueError):
+        G.from_wkb(struct.pack("<BII", 1, 2, 0))
