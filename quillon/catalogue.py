@@ -282,7 +282,7 @@ SELECT feature1, feature2, {R('rho')} AS rho, {R('p')} AS p_value, {R('least(1::
 
 _EFFECT = """CASE WHEN var1 + var2 IS NOT NULL THEN (mean1 - mean2) / sqrt(greatest((var1 + var2) / 2, 1e-8)) END AS cohen,
   CASE WHEN var1 + var2 IS NOT NULL THEN (mean1 - mean2) / sqrt(greatest(var1 / n1 + var2 / n2, 1e-8)) END AS z, mean1 - mean2 AS delta_mean,
-  log2((det1 + 0.5::DOUBLE) / (n1 + 1)) - log2((det2 + 0.5::DOUBLE) / (n2 + 1)) AS lfc_detected"""
+  ln((det1 + 0.5::DOUBLE) / (n1 + 1)) / ln(2::DOUBLE) - ln((det2 + 0.5::DOUBLE) / (n2 + 1)) / ln(2::DOUBLE) AS lfc_detected"""
 _EFFECTS = f"""{_PAIRS}{_NODES}, e0 AS (SELECT feature, first, second, {_EFFECT} FROM p),
 e AS (SELECT feature, first, second, any_value(cohen) AS cohen, 0.5::DOUBLE + any_value(z) / 600 * sum(w * exp(-(z * i / 200) * (z * i / 200) / 2)) / sqrt(2 * pi()) AS auc, any_value(delta_mean) AS delta_mean, any_value(lfc_detected) AS lfc_detected FROM e0 CROSS JOIN nodes GROUP BY 1, 2, 3)"""
 _BINOM = """, k AS (SELECT feature, first, second, n1, n2, det1, det1 + det2 AS size, n1 / (n1 + n2) AS p0 FROM p),
