@@ -5,7 +5,7 @@ Pieces are sorted by length. As lengths are whole numbers up to the sequence len
 gaps (room left in open sequences) are kept as runs of equal length: a round sweeps both lists, gives each run of
 pieces its successor run of gaps (the least room that suffices), in order of rank within the run, updates the
 gaps, and repeats with what is left; pieces without a gap open new sequences. The rounds need one number for each
-length, so they cost the same for any number of documents. What a round decides is a range of ranks within a length,
+length, so they cost the same for any number of documents. Full pieces need no match. What a round decides is a range of ranks within a length,
 a range of sequences and an offset; each piece finds its own by its rank, which is counted in parallel over salted
 groups of equal length, so that a length that most pieces share is still dealt to many tasks.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from quillon.llm import shared
 
 END = np.zeros(1, "<u4").tobytes()
-#: Groups that pieces of the same length are dealt to.
-SALTS = 64
+#: Groups that pieces of the same length are dealt to: as many as there are partitions, between these bounds.
+SALTS = (64, 1024)
 #: Where byte-level BPE of this kind cuts texts before it merges bytes; fixed by the vocabulary.
 CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -47,8 +47,10 @@ class Ids:
     def _fast(self):
         import json
 
-        import tiktoken
-
+        try:
+            import tiktoken
+        except ImportError:  # the other library does all
+            return None
         spec = json.loads(self.tokenizer.to_str())
         model, cut = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer"):
@@ -67,7 +69,7 @@ class Ids:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def _pieces(path: str, length: int):
+def _pieces(path: str, length: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -81,7 +83,7 @@ def _pieces(path: str, length: int):
                 start = 0
                 for piece in range(-(-total // length)):
                     end = total - (-(-total // length) - 1 - piece) * length
-                    out.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), n % SALTS))
+                    out.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), n % salts))
                     start = end
                     n += 1
             columns = list(zip(*out, strict=True))
@@ -135,12 +137,17 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[int, int, int, int,
 def packed(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
     spark = docs.sparkSession
+    salts = int(np.clip(shared.partitions(spark), *SALTS))
     with shared.small_batches(spark):
         pieces = shared.written(
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer_path, length), "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"),
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer_path, length, salts), "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"),
             "pieces",
         )
-    groups = np.zeros((length + 1, SALTS), np.int64)
+    # A full piece is a sequence of its own, numbered where it stands (below 0).
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == length).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.where(F.col("length") < length)
+    groups = np.zeros((length + 1, salts), np.int64)
     for r in pieces.groupBy("length", "salt").count().collect():  # at most lengths times salts
         groups[r["length"], r["salt"]] = r["count"]
     first = np.cumsum(groups, axis=1) - groups
@@ -155,7 +162,7 @@ def packed(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFram
             n, salt = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt"))
             if not len(n):
                 continue
-            group = n * SALTS + salt
+            group = n * salts + salt
             new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             within = np.arange(len(n)) - np.repeat(new, np.diff(np.append(new, len(n))))
             if group[0] == last:
@@ -172,4 +179,5 @@ def packed(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFram
         pieces.repartition(shared.partitions(spark), "length", "salt")
         .sortWithinPartitions("length", "salt", "doc_id", "piece", "ids_crc32")
         .mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        .unionByName(full)
     )

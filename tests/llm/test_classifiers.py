@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import quality, toxicity
+from quillon.llm import quality, shared, toxicity
 from tests.llm import cases
+from tests.llm.test_shared import brute_hash
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -100,3 +102,91 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     got, y = shared.labelled_sample(docs, labels, "quality", 1000, 10_000)
     assert set(got) == {t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1}
     assert all(good[texts.index(t)] == v for t, v in zip(got, y))
+
+
+def brute_features(text):
+    """Places of all features, word by word."""
+    kinds = lambda b: "".join(chr(quality._CLASS[x]) for x in b)
+    words = text.encode().split()
+    raw = [brute_hash(w) for w in words]
+    shape = []
+    for w in words:
+        k = kinds(w)
+        shape.append(brute_hash("".join(c for i, c in enumerate(k) if i == 0 or c != k[i - 1]).encode()))
+    pair = lambda a, b, salt: int(shared.pair(np.array([a], np.uint64), np.array([b], np.uint64), salt)[0])
+    out = [pair(h, 0, 1) for h in raw] + [pair(h, 0, 2) for h in shape]
+    out += [pair(a, b, 5) for a, b in zip(raw, raw[1:])] + [pair(a, b, 6) for a, b in zip(shape, shape[1:])]
+    out += [pair(pair(a, b, 7), c, 7) for a, b, c in zip(shape, shape[1:], shape[2:])]
+    for back, salt in ((1, 3), (2, 4)):
+        out += [salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for a, b in zip(raw, raw[back:]) if a == b]
+    return [h >> 64 - quality.BITS for h in out], len(words)
+
+
+def test_quality_against_dictionaries():
+    """Follow-the-regularised-leader over dictionaries, one coordinate at a time, and scores as sums over features."""
+    texts, good, _ = corpus(30)
+    texts = [" ".join(t.split()[:30]) for t in texts] + ["a  a\tb A b\n a B1!? b1!?", ""]
+    y = np.append(good, [1.0, 0.0])
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-4, 1e-3
+    z, n = {}, {}
+
+    def weight(k):
+        zk = z.get(k, 0.0)
+        return 0.0 if abs(zk) <= l1 else ((l1 if zk > 0 else -l1) - zk) / ((beta + n.get(k, 0.0) ** 0.5) / alpha + l2)
+
+    docs = []
+    for t in texts:
+        places, words = brute_features(t)
+        x = {}
+        for k in places:
+            x[k] = x.get(k, 0) + 1 / max(words, 1)
+        docs.append(x | {"bias": 1.0})
+    balance = [len(y) / (2 * y.sum()) if v else len(y) / (2 * (len(y) - y.sum())) for v in y]
+    rng = np.random.Generator(np.random.PCG64(11))
+    for _ in range(2):
+        for i in rng.permutation(len(docs)):
+            w = {k: weight(k) for k in docs[i]}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in docs[i].items())))
+            for k, v in docs[i].items():
+                g = (p - y[i]) * balance[i] * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = [1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items()))) for x in docs]
+    assert np.allclose(quality.train(texts, y, epochs=2).scores(pa.array(texts)), want, atol=1e-5)
+
+
+def brute_toxicity(p, text):
+    """The worst window, a word and a unit at a time."""
+    lower = "".join(chr(b) for b in toxicity._LOWER[np.frombuffer(text.encode(), np.uint8)])
+    words = [w.encode("latin-1") for w in lower.split(" ") if w]
+    known = {int(h): i for i, h in enumerate(p["known"]) if i}
+    vectors = []
+    for w in words:
+        framed, grams = b" " + w + b" ", []
+        for g in toxicity.GRAMS:
+            for k in range(max(len(framed) - g + 1, 1)):
+                grams.append(p["chars"][p["gram_row"][brute_hash(framed[k : k + g]) >> 64 - toxicity.GRAM_BITS]])
+        vectors.append(np.concatenate([p["words"][known.get(brute_hash(w), 0)], np.mean(grams, axis=0)]).astype(float))
+    h, sigmoid = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    worst = 0.0
+    for k in range(0, max(len(words) - (toxicity.WINDOW - toxicity.STRIDE), 1 if words else 0), toxicity.STRIDE):
+        window = vectors[k : k + toxicity.WINDOW]
+        attend, value = np.zeros(len(window)), np.zeros(len(window))
+        for d, order in enumerate((range(len(window)), reversed(range(len(window))))):
+            state = np.zeros(h)
+            for t in order:
+                g, hu = window[t] @ p["w"][d] + p["b"][d], state @ p["u"][d]
+                z, r = sigmoid(g[:h] + hu[:h]), sigmoid(g[h : 2 * h] + hu[h : 2 * h])
+                state = (1 - z) * np.tanh(g[2 * h :] + r * hu[2 * h :]) + z * state
+                attend[t] += state @ p["attend"][d]
+                value[t] += state @ p["out"][d]
+        weights = np.exp(attend - attend.max())
+        worst = max(worst, sigmoid((weights * value).sum() / weights.sum() + p["bias"][0]))
+    return worst
+
+
+def test_toxicity_against_loops():
+    texts, _, toxic = corpus(60)
+    p = toxicity.train(texts, toxic, warm=1, epochs=1)
+    some = [*texts[:6], "", "One", "naïve ÉTÉ, x-y 12 grubzaken!", " ".join(texts[:3]), "?! ..."]
+    assert np.allclose(toxicity.scores(p, pa.array(some)), [brute_toxicity(p, t) for t in some], atol=1e-4)

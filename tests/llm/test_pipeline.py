@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import shared, substring, toxicity
+from quillon.llm import mixing, packing, queries, shared, toxicity
 from tests.conftest import SF
-from tests.llm import cases, test_simhash, test_substring
+from tests.llm import cases, test_nearcopies, test_packing, test_simhash, test_substring
 
 
 def test_stages_on_edge_cases(spark, tmp_path):
@@ -36,5 +36,15 @@ def test_whole_run(spark):
     rows = clean.collect()
     roots = test_simhash.brute_components([test_simhash.brute_bits(r["text"]) for r in rows])
     assert {r["doc_id"] for r in kept} == {min(r["doc_id"] for r, o in zip(rows, roots) if o == own) for own in set(roots)}
-    assert corpus_pipeline.run(spark, SF).count() > 0
-    assert substring.without_repeats(clean).where("n_removed > n_words").count() == 0
+    whole = corpus_pipeline.run(spark, SF).collect()
+    by_stage = {"toxicity": clean}
+    for (before, _), (name, stage) in zip(corpus_pipeline.STAGES, corpus_pipeline.STAGES[1:]):
+        by_stage[name] = shared.written(stage(spark, by_stage[before], SF), name)
+    data = [(r["doc_id"], r["text"], None, None) for r in clean.collect()]
+    assert sorted(r["doc_id"] for r in by_stage["near_dedup"].collect()) == test_nearcopies.brute_kept(data)
+    drawn = mixing.mixed(by_stage["substring_dedup"]).where("selected").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in by_stage["mixing"].collect()) == sorted(r["doc_id"] for r in drawn)
+    texts = [r["text"] or "" for r in by_stage["mixing"].collect()]
+    lengths = [n for ids in packing.Ids(queries.default_tokenizer()).encode(texts) for n in [2048] * ((len(ids) // 4 + 1) // 2048) + [(len(ids) // 4 + 1) % 2048] if n]
+    assert sorted(r["length"] for r in whole) == sorted(lengths) == sorted(r["length"] for r in by_stage["packing"].collect())
+    assert len({r["sequence_id"] for r in whole}) == test_packing.brute_best_fit(lengths, 2048)
