@@ -392,7 +392,7 @@ b AS (SELECT first AS "group", feature, list_sort(list(rk))[CAST(any_value(j) AS
         "score_summary": (lambda s, d: rounded(markers.score_markers(sales(s, d), regions(s, d)).select("group", "feature", *scored)), f'{sales_group}{_EFFECTS} SELECT first AS "group", feature, {summary_cols} FROM e GROUP BY 1, 2'),
         "score_minrank": (
             lambda s, d: markers.score_markers(embed(s, d), labels_of(s, d)).select("group", "feature", "rank_cohen", "rank_auc", "rank_lfc_detected"),
-            embed_group + f"""{_PAIRS}, e AS (SELECT feature, first, second, {_EFFECT} FROM p), r AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY cohen DESC) AS k, rank() OVER (PARTITION BY first, second ORDER BY z DESC) AS kz, rank() OVER (PARTITION BY first, second ORDER BY lfc_detected DESC) AS kl FROM e)
+            embed_group + f"""{_PAIRS}, e AS (SELECT feature, first, second, {_EFFECT} FROM p), r AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY round(cohen, 12) DESC) AS k, rank() OVER (PARTITION BY first, second ORDER BY z DESC) AS kz, rank() OVER (PARTITION BY first, second ORDER BY round(lfc_detected, 12) DESC) AS kl FROM e)
 SELECT first AS "group", feature, CAST(min(k) AS BIGINT) AS rank_cohen, CAST(min(kz) AS BIGINT) AS rank_auc, CAST(min(kl) AS BIGINT) AS rank_lfc_detected FROM r GROUP BY 1, 2""",
         ),
         "score_auc_exact": (lambda s, d: rounded(markers.exact_auc(sales(s, d), regions(s, d)).drop("n1", "n2")), _AUC.replace("{l}", "0")),

@@ -341,6 +341,8 @@ def pairing_frame(m: SparseMatrix, pairings) -> DataFrame:
     return m.spark.createDataFrame(chosen, ["first", "second"])
 
 
+#: Effects that agree to so many decimals have the same rank, so that ties don't hang on the last bits of logarithms.
+DIGITS = 12
 SIDES = ("self_average", "other_average", "self_detected", "other_detected")
 
 
@@ -394,7 +396,7 @@ def score_markers(m: SparseMatrix, groups: DataFrame, blocks: DataFrame | None =
     e = effects(m, groups, blocks, pairings, lfc, true_auc, sides=whole).withColumnRenamed("first", "group")
     names = ("cohen", "auc", "lfc_detected")
     for c in names:
-        e = e.withColumn(f"rank_{c}", F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy("group", "second").orderBy(F.col(c).desc_nulls_last()))))
+        e = e.withColumn(f"rank_{c}", F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy("group", "second").orderBy(F.round(F.col(c), DIGITS).desc_nulls_last()))))
     # Lists of one entry for each other group.
     aggs = [a for c in names for a in (F.avg(c).alias(f"mean_{c}"), F.array_sort(F.collect_list(c)).alias(f"all_{c}"), F.min(f"rank_{c}").cast("long").alias(f"rank_{c}"))]
     if whole:

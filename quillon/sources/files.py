@@ -57,9 +57,12 @@ def copy(spark: SparkSession, source: str, target: str) -> None:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode,
+    else an error."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -29,6 +29,7 @@ def write_blocks(
     first, part, rows, i = None, 0, 0, 0
     while (block := pull(i)) is not None:
         i += 1
+        block = files.written(block, "block")  # computed once: what is counted is what is written
         n = block.count()
         if not n:
             continue

@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import kernels as K
 from quillon.functions import trend, zorder
+from quillon.functions.trend import fit_trend_cv2, fit_trend_var
 from quillon.operators import aggregate, correlate, markers, moments, normalize, qc, variance
 from quillon.plans.matrix import SparseMatrix
 
@@ -208,3 +210,99 @@ def test_trends_are_fitted_on_all_features(spark, fit):
     (got,) = variance._fits(stats, False, fit).values()
     want = fit(rows["mean"], rows["var"])
     assert len(got.knots) == len(want.knots) and np.allclose(got.values, want.values) and np.isclose(got.std_dev, want.std_dev)
+
+
+def test_variance_models_against_the_dense_matrix(spark):
+    """Moments, spread, tails, adjustment and blocks worked out again; the trend itself is the same function of the same numbers."""
+    rng = np.random.default_rng(4)
+    dense = np.log2(rng.poisson(rng.gamma(2, 2, 120)[:, None] * rng.uniform(0.5, 2, 40)[None, :]) + 1.0)
+    cells = spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "feature long, sample long, value double")
+    m = SparseMatrix(cells, spark.range(120).toDF("feature"), spark.range(40).toDF("sample"))
+    upper = np.vectorize(lambda z: 0.5 * math.erfc(z / math.sqrt(2)))
+
+    def adjusted(p):
+        order = np.argsort(p, kind="stable")
+        out = np.empty(len(p))
+        out[order] = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+        return np.minimum(out, 1)
+
+    def one(x, fit, ratio):
+        mean, var = x.mean(axis=1), x.var(axis=1, ddof=1)
+        total = var / mean**2 if ratio else var
+        order = np.lexsort((total, mean))
+        t = fit(mean[order], total[order])
+        z = (total / t(mean) - 1) / t.std_dev if ratio else (total - t(mean)) / t(mean) / t.std_dev
+        return mean, total, t(mean), upper(z)
+
+    got = variance.model_gene_var(m).toPandas().sort_values("feature")
+    mean, total, trend, p = one(dense, fit_trend_var, False)
+    for c, want in (("mean", mean), ("total", total), ("tech", trend), ("bio", total - trend), ("p_value", p), ("fdr", adjusted(p))):
+        assert np.allclose(got[c], want, atol=1e-8), c
+    blocks = spark.range(40).select(F.col("id").alias("sample"), (F.col("id") % 2).alias("block"))
+    got = variance.model_gene_var(m, blocks).toPandas().sort_values("feature")
+    parts = [one(dense[:, k::2], fit_trend_var, False) for k in range(2)]
+    mean, total, trend = (np.mean([q[k] for q in parts], axis=0) for k in range(3))
+    x = -np.log(parts[0][3]) - np.log(parts[1][3])
+    p = np.exp(-x) * (1 + x)  # the tail of chi-squared with four degrees of freedom
+    for c, want in (("mean", mean), ("total", total), ("tech", trend), ("p_value", p), ("fdr", adjusted(p))):
+        assert np.allclose(got[c], want, atol=1e-8), c
+    counts = np.exp2(dense) - 1
+    cv = SparseMatrix(cells.withColumn("value", F.pow(F.lit(2.0), "value") - 1), m.features, m.samples)
+    got = variance.model_gene_cv2(cv).toPandas().sort_values("feature")
+    scaled = counts / (counts.sum(axis=0) / counts.sum(axis=0).mean())
+    mean, total, trend, p = one(scaled, fit_trend_cv2, True)
+    for c, want in (("mean", mean), ("total", total), ("trend", trend), ("ratio", total / trend), ("p_value", p), ("fdr", adjusted(p))):
+        assert np.allclose(got[c], want, atol=1e-6), c
+    design = spark.range(40).select(F.col("id").alias("sample"), F.lit(1.0).alias("one"), (F.col("id") % 7).cast("double").alias("z"))
+    got = variance.model_gene_var(m, design=design).toPandas().sort_values("feature")
+    x = np.stack([np.ones(40), np.arange(40) % 7], axis=1)
+    left = dense.T - x @ np.linalg.lstsq(x, dense.T, rcond=None)[0]
+    assert np.allclose(got["total"], (left**2).sum(axis=0) / 38, atol=1e-9)
+
+
+def test_adjustment_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    log_p = np.where(rng.random(2000) < 0.05, np.nan, np.log(np.round(rng.random(2000), 2) + 1e-6))
+    df = spark.createDataFrame([(i, None if np.isnan(v) else float(v)) for i, v in enumerate(log_p)], "feature int, log_p double")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = markers.bh(df, [], "log_p", "fdr").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    two = markers.bh(df.withColumn("all", F.lit(1)), ["all"], "log_p", "fdr").toPandas()
+    a, b = (x.sort_values("feature")["fdr"].to_numpy() for x in (one, two))
+    assert np.allclose(a, b, equal_nan=True) and np.isnan(a).sum() == np.isnan(log_p).sum()
+    assert markers.bh(df.limit(0), [], "log_p", "fdr").count() == 0
+
+
+def test_products_of_many_features_and_samples(spark, monkeypatch):
+    monkeypatch.setattr(correlate, "SAMPLES", 7)
+    monkeypatch.setattr(correlate, "ROWS", 3)
+    monkeypatch.setattr(correlate, "FAN_IN", 2)
+    rng = np.random.default_rng(6)
+    x = rng.poisson(1.0, (10, 200)).astype(float)
+    cells = spark.createDataFrame([(f"f{i}", f"s{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "feature string, sample string, value double")
+    m = SparseMatrix(cells, spark.createDataFrame([(f"f{i}",) for i in range(10)], "feature string"), spark.createDataFrame([(f"s{j}",) for j in range(200)], "sample string"))
+    want = np.corrcoef(x)
+    got = correlate.correlate_pairs(m).collect()
+    assert len(got) == 45 and all(abs(r["rho"] - want[int(r["feature1"][1:]), int(r["feature2"][1:])]) < 1e-9 for r in got)
+
+
+def test_least_squares_with_a_fill_value(spark):
+    from quillon.operators import linear
+
+    rng = np.random.default_rng(7)
+    y = np.where(rng.random((5, 30)) < 0.5, 2.0, rng.random((5, 30)))
+    cells = spark.createDataFrame([(i, j, float(y[i, j])) for i in range(5) for j in range(30) if y[i, j] != 2.0], "feature int, sample int, value double")
+    m = SparseMatrix(cells, spark.range(5).select(F.col("id").cast("int").alias("feature")), spark.range(30).select(F.col("id").cast("int").alias("sample")), 2.0)
+    design = spark.createDataFrame([(j, 1.0, float(j % 4), float(j * j)) for j in range(30)], "sample int, one double, a double, b double")
+    fit, _, n, df = linear.least_squares(m, design)
+    x = np.array([[1.0, j % 4, j * j] for j in range(30)])
+    want, rss, *_ = np.linalg.lstsq(x, y.T, rcond=None)
+    got = fit.orderBy("feature").collect()
+    assert (n, df) == (30, 27) and np.allclose([r["coef"] for r in got], want.T) and np.allclose([r["rss"] for r in got], rss)
+    with pytest.raises(ValueError):
+        linear.least_squares(m, design.withColumn("c", F.col("a") * 2))
+    with pytest.raises(ValueError):
+        m.realized(10)
