@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -56,6 +57,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer used; it does so when the driver collects garbage, which else may be
+    late: iterations then fill the executors' disks with what they have done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch table of this application; frames that still read one of them can't be used any more."""
     drop_path(spark, scratch_dir(spark))

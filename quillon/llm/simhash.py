@@ -311,6 +311,7 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    shared.release(edges.sparkSession)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
