@@ -2,7 +2,7 @@
 
 Words are those of SimHash: white space apart, ASCII letters in lower case; a text of fewer than five words is one shingle.
 
-Candidates: shingles are put in one order for all texts (common ones last, then by hash). Two texts that are similar enough
+Candidates: shingles are put in one order for all texts (common ones last, then by hash; a sample of texts tells which are common). Two texts that are similar enough
 share a shingle among the first n - ceil(0.8 n) + 1 of each (prefix filter), so texts meet under these. Texts that meet are
 compared by their numbers of shingles and by parity bitmaps: shingles in one set only are at least as many as bits that
 differ. Pairs that may be similar are reduced to a spanning forest under each shingle; its components, over all shingles,
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from quillon.llm import shared, simhash
 
 WORDS = 5
-#: Counters of shingles, by which common ones go last.
-BUCKETS = 1 << 16
+#: One text in so many tells which shingles are common. Shingles in that sample from LEAST texts on are, MOST of them; their levels stand
+#: in so many places.
+SAMPLE, LEAST, MOST, PLACES = 16, 4, 1 << 20, 1 << 23
 #: Widths of parity bitmaps: about a bit for each shingle.
 NARROW, WIDE = 1 << 10, 1 << 14
 #: Texts, and their bytes, that are compared in one task.
@@ -65,17 +66,32 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of shingles and parity bitmap of each text; at the end, without a bitmap, how many shingles each bucket has."""
-    total, names = np.zeros(BUCKETS, np.int64), ["text_hash", "n", "parity"]
+    """Number of shingles and parity bitmap of each text."""
     for chunk in shared.regrouped(batches, "text"):
         sets = list(shingle_sets(chunk.column("text").combine_chunks()))
-        for s in sets:
-            total += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
-        few = np.concatenate([np.zeros(0, np.uint64), *(s for s in sets if len(s) <= BUCKETS // 8)])
-        total += np.bincount((few % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([chunk.column("text_hash").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=names)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([chunk.column("text_hash").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["text_hash", "n", "parity"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in shared.regrouped(batches, "text"):
+        keys = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(chunk.column("text").combine_chunks())])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+
+def common_levels(texts: DataFrame) -> np.ndarray:
+    """For each place (a shingle's last bits) the logarithm of how many texts of a sample have a shingle there; 0 where none is common.
+    Shingles are counted apart, whatever their number, so that the many rare ones don't hide a common one."""
+    counts = texts.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0).mapInArrow(_shingles, "key long").groupBy("key").count().where(F.col("count") >= LEAST)
+    counts = shared.written(counts.select(F.col("key").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("place"), F.floor(F.log2("count")).cast("byte").alias("level")), "near-common")
+    least, n = 128, 0
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 63
+        if (n := n + r["count"]) > MOST:
+            break
+        least = r["level"]
+    found = counts.where(F.col("level") >= least).toArrow()  # MOST pairs of numbers at most
+    levels = np.zeros(PLACES, np.int8)
+    np.maximum.at(levels, found.column("place").to_numpy(), found.column("level").to_numpy())
+    return levels
 
 
 def _prefixes(levels: np.ndarray):
@@ -84,7 +100,7 @@ def _prefixes(levels: np.ndarray):
             keys, sizes = [np.zeros(0, np.uint64)], []
             for s in shingle_sets(chunk.column("text").combine_chunks()):
                 n = len(s) - least_common(len(s)) + 1 if len(s) else 0
-                order = np.argsort(levels[(s % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")  # s is sorted by hash
+                order = np.argsort(levels[(s & np.uint64(PLACES - 1)).astype(np.int64)], kind="stable")  # s is sorted by hash
                 keys.append(s[order[:n]])
                 sizes.append(n)
             h = np.repeat(chunk.column("text_hash").to_numpy(), sizes)
@@ -229,14 +245,11 @@ def links(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), text.alias("text"))
     with shared.small_batches(spark):
         made = shared.written(texts.mapInArrow(_sketches, "text_hash long, n long, parity binary"), "near-sketches")
-    counts = np.zeros(BUCKETS)
-    for r in made.where("parity IS NULL").groupBy("text_hash").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS
-        counts[r["text_hash"]] = r["n"]
-    levels = np.floor(np.log2(np.maximum(counts / max(np.median(counts), 1), 1))).astype(np.int8)
-    prefixes = texts.mapInArrow(_prefixes(levels), "key long, text_hash long")
+    prefixes = texts.mapInArrow(_prefixes(common_levels(texts)), "key long, text_hash long")
     with shared.small_batches(spark):
         members = shared.written(prefixes.repartition(n, "key").sortWithinPartitions("key", "text_hash").mapInArrow(_shared_keys, "key long, text_hash long"), "near-members")
-    sketches = made.where("parity IS NOT NULL").groupBy("text_hash").agg(F.min("n").alias("n"), F.min("parity").alias("data"))
+    shared.release(spark)
+    sketches = made.groupBy("text_hash").agg(F.min("n").alias("n"), F.min("parity").alias("data"))
     large = shared.written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("text_hash").alias("first")).where(F.col("n") > CROWD).drop("n"), "near-crowds")
     large = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
     star = members.join(large, "key").select(F.col("text_hash").alias("a"), F.col("first").alias("b")).where("a != b")

@@ -89,3 +89,20 @@ def test_groups_larger_than_a_unit(spark, monkeypatch):
     data += [(i + 60 + k, f"{passage} {cases.words(rng, 4 + k % 9, 5000)}", "en", "a") for k in range(60)]
     got = sorted(r["doc_id"] for r in nearcopies.deduplicated(cases.documents(spark, data)).collect())
     assert got == brute_kept(data)
+
+
+def test_common_shingles_go_last(spark, monkeypatch):
+    """Texts that share a twentieth of their shingles with nine others don't meet, however many rare shingles there are."""
+    monkeypatch.setattr(nearcopies, "SAMPLE", 1, raising=False)
+    rng, members, written = random.Random(3), [], nearcopies.shared.written
+    passages = [cases.words(rng, 24, 10**6) for _ in range(300)]
+    data = [(i, f"{cases.words(rng, 380, 10**6)} {passages[i % 300]}", "en", "a") for i in range(3000)]
+
+    def spied(df, tag):
+        out = written(df, tag)
+        if tag == "near-members":
+            members.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies.shared, "written", spied)
+    assert nearcopies.links(cases.documents(spark, data)).count() == 0 and members == [0]
