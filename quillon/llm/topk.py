@@ -3,7 +3,7 @@
 Vectors are quantised to floor(scale * x) and packed in blocks, as 16-bit numbers where they fit. Groups of query blocks meet
 groups of shard blocks in the cells of a grid, which are dealt out to tasks; a query block is sent once to each group of
 shards, a shard once to each group of queries. Within a cell each pair of blocks is a tile: one matrix product, of which
-the k best of each query are kept. The lists of a query are then merged in rounds, a few at a time, until one is left.
+the k best of each query are kept. The lists of a query are then merged in rounds, a few at a time, first within the cell, until one is left.
 Every score is computed.
 
 Nulls: rows with a null id, a null vector, or a null or non-finite component take no part. Vectors of unequal length are
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm import shared
 
-#: Vectors in a block, and the most blocks in a group.
-BLOCK, GROUP = 1024, 16
+#: Vectors in a block, and the most blocks in a group: so many, or as many as have so many bytes. Cells of the grid at most,
+#: where groups are smaller, and those that there are rather than that shards are sent more than twice.
+BLOCK, GROUP, GROUP_BYTES, CELLS, FEW = 1024, 16, 32 << 20, 512, 64
 FAN_IN = 8
 _EXACT = 1 << 53
 
@@ -108,13 +109,38 @@ def best_of_tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
     return np.array(rows, np.int64), np.array(ids, np.int64), np.array(scores, np.int64)
 
 
+def merged(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One list (query row, candidate id, score) of the k best of each query of several."""
+    rows, ids, score = (np.concatenate(x) for x in zip(*lists, strict=True))
+    score = np.maximum(score, -(2**63) + 1)
+    order = np.lexsort((ids, -score, rows))
+    rows, ids, score = rows[order], ids[order], score[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], ids[kept], score[kept]
+
+
 def _cell(k: int):
+    """The k best of each query in its cell. Tiles of one query block that follow each other are merged, FAN_IN lists at a time."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, lists = None, []
+
+        def found() -> pd.DataFrame:
+            rows, ids, score = merged(lists, k)
+            return pd.DataFrame({"query_id": np.frombuffer(key[1], np.int64)[rows], "cell": key[0], "worse": -score, "vec_id": ids})
+
         for b in batches:
-            for cell, slot, q_ids, q_mat, q_dim, ids, mat, dim in zip(*(b[c] for c in ("cell", "slot", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")), strict=True):
+            for cell, q_ids, q_mat, q_dim, ids, mat, dim in zip(*(b[c] for c in ("cell", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")), strict=True):
+                if key != (cell, q_ids):
+                    if lists:
+                        yield found()
+                    key, lists = (cell, q_ids), []
                 (qi, q), (ci, c) = _unpacked(q_ids, q_mat, q_dim), _unpacked(ids, mat, dim)
-                rows, found, score = best_of_tile(q, qi, c, ci, k)
-                yield pd.DataFrame({"query_id": qi[rows], "cell": cell, "slot": slot, "worse": -np.maximum(score, -(2**63) + 1), "vec_id": found})
+                lists.append(best_of_tile(q, qi, c, ci, k))
+                if len(lists) == FAN_IN:
+                    lists = [merged(lists, k)]
+        if lists:
+            yield found()
 
     return run
 
@@ -128,23 +154,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     with shared.small_batches(spark, BLOCK):
         shards = shared.written(quantised(vectors, id_col, vec_col, scale).mapInPandas(_blocks, block).withColumn("no", numbered), "topk-shards")
         queries = shared.written(asking.mapInPandas(_blocks, block), "topk-queries")
-    n_shards, n_blocks, n = shards.count(), queries.count(), shared.partitions(spark)
-    side = min(GROUP, max(1, math.isqrt(n_shards * n_blocks // (2 * n))))  # smaller cells where there are few tiles for the tasks
+    n_shards, size = shards.agg(F.count("*"), F.max(F.octet_length("mat"))).first()
+    n_blocks, cells = queries.count(), min(2 * shared.partitions(spark), CELLS)
+    # Smaller cells where there are few tiles for the tasks, but with half of the queries in each where that leaves enough of them.
+    side = max(1, math.isqrt(n_shards * n_blocks // cells), min(math.ceil(n_blocks / 2), math.isqrt(n_shards * n_blocks // FEW)))
+    side = min(side, max(GROUP, GROUP_BYTES // max(size or 1, 1)))
     groups, query_groups = max(1, math.ceil(n_shards / side)), max(1, math.ceil(n_blocks / side))
 
     def each(count: int):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    # A shard's number tells its lists apart: the leaves of the tree.
-    right = shards.withColumnRenamed("no", "slot").withColumn("cell", F.pmod(F.xxhash64("slot"), F.lit(groups)).cast("int")).withColumn("asked", each(query_groups))
+    right = shards.withColumn("cell", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int")).withColumn("asked", each(query_groups)).drop("no")
     left = queries.select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("ids"), F.lit(query_groups)).cast("int").alias("asked"))
     left = left.withColumn("cell", each(groups))
-    tiles = left.join(right, ["cell", "asked"]).select("cell", "slot", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")
+    # By sorting, as Spark takes either side for as small as its table and would send all of its copies through the driver.
+    tiles = left.hint("merge").join(right, ["cell", "asked"]).select("cell", "q_ids", "q_mat", "q_dim", "ids", "mat", "dim")
     with shared.small_batches(spark, 4):
-        lists = shared.written(tiles.mapInPandas(_cell(k), "query_id long, cell int, slot long, worse long, vec_id long"), "topk-lists")
+        lists = shared.written(tiles.mapInPandas(_cell(k), "query_id long, cell int, worse long, vec_id long"), "topk-lists")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
-    lists = lists.groupBy("query_id", "cell", "slot").agg(F.collect_list(F.struct("worse", "vec_id")).alias("best"))
-    lists = lists.groupBy("query_id", "cell").agg(best)  # at most the shards of a cell, k entries each
+    lists = lists.groupBy("query_id", "cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("worse", "vec_id"))), 1, k).alias("best"))
     while groups > 1:
         lists = lists.withColumn("cell", F.expr(f"cell div {FAN_IN}")).groupBy("query_id", "cell").agg(best)
         groups = math.ceil(groups / FAN_IN)

@@ -43,3 +43,32 @@ def test_few_rows_huge_values_and_empty(spark):
     rows = [(0, [1e30, -1e30]), (1, [1e30, 2.0]), (5, [1e9, 1e9])]
     assert run(spark, rows) == brute(rows, lambda i: i % 5 == 0, 5)
     assert run(spark, []) == set() and run(spark, [(1, [1.0])]) == set() and run(spark, [(5, [1.0])]) == set()
+
+
+def test_blocks_are_not_broadcast_and_lists_merge_within_cells(spark, monkeypatch):
+    """Copies of blocks must not pass through the driver, however small the table; a cell gives one list for each query block."""
+    seen, written = {}, topk.shared.written
+
+    def spied(df, tag):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[tag] = (plan, written(df, tag))
+        return seen[tag][1]
+
+    monkeypatch.setattr(topk.shared, "written", spied)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(6000)]
+    assert run(spark, rows, lambda c: c % 50 == 0) == brute(rows, lambda i: i % 50 == 0, 5)
+    plan, lists = seen["topk-lists"]
+    assert "Broadcast" not in plan
+    assert lists.groupBy("query_id", "cell").count().where("count > 5").count() == 0
+
+
+def test_lists_are_merged_exactly():
+    rng = np.random.default_rng(4)
+    lists = [(np.sort(rng.integers(0, 3, 20)), rng.integers(0, 50, 20), rng.integers(-5, 5, 20)) for _ in range(4)]
+    lists.append((np.array([1, 2]), np.array([7, 8]), np.array([2**63 - 1, -(2**63)])))
+    rows, ids, score = topk.merged(lists, 5)
+    everything = [(int(r), -max(int(s), -(2**63) + 1), int(i)) for x in lists for r, i, s in zip(*x, strict=True)]
+    want = [x for q in range(3) for x in sorted(e for e in everything if e[0] == q)[:5]]
+    assert [(int(r), -int(s), int(i)) for r, i, s in zip(rows, ids, score, strict=True)] == want
