@@ -306,3 +306,21 @@ def test_least_squares_with_a_fill_value(spark):
         linear.least_squares(m, design.withColumn("c", F.col("a") * 2))
     with pytest.raises(ValueError):
         m.realized(10)
+
+
+def test_dense_matrices_shuffle_no_empty_cells(spark, monkeypatch):
+    from quillon import catalogue
+    from quillon.plans import matrix as plans
+
+    monkeypatch.setattr(plans, "BLOCK", 7)
+    for fill in (0.0, 1.0):
+        x = dense(3, fill)
+        m = matrix(spark, x, fill)
+        own = m.cells.where("feature < 11").unionAll(spark.createDataFrame([(11, 2, None), (99, 1, 5.0), (1, 99, 5.0)], m.cells.schema))  # unknown keys are not in the universe
+        x[11] = fill
+        wide = SparseMatrix(own, m.features, m.samples, fill).dense()
+        assert sorted(map(tuple, wide.collect())) == [(i, j, x[i, j]) for i in range(G) for j in range(N)]
+        grid = [line for line in wide._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+        assert len(grid) == 1 and "block" in grid[0] and "sample" not in grid[0]
+    monkeypatch.setattr(catalogue, "REALIZED", 10)
+    assert sorted(map(tuple, catalogue._realized(m).collect())) == sorted(map(tuple, m.dense().collect()))
