@@ -324,3 +324,11 @@ def test_dense_matrices_shuffle_no_empty_cells(spark, monkeypatch):
         assert len(grid) == 1 and "block" in grid[0] and "sample" not in grid[0]
     monkeypatch.setattr(catalogue, "REALIZED", 10)
     assert sorted(map(tuple, catalogue._realized(m).collect())) == sorted(map(tuple, m.dense().collect()))
+
+
+def test_ranks_tell_saturated_aucs_apart(spark):
+    noise = np.array([0.1, -0.1, 0.2, -0.2])
+    x = np.stack([(100 + i * i) * (np.arange(N) < N // 2) + noise[np.arange(N) % 4] for i in range(G)])
+    out = markers.score_markers(matrix(spark, x), groups(spark, ["a"] * (N // 2) + ["b"] * (N - N // 2))).toPandas()
+    got = {(r.group, r.feature): r.rank_auc for r in out.itertuples()}
+    assert all(got["a", i] == G - i and got["b", i] == i + 1 for i in range(G)) and set(out["mean_auc"].round(12)) == {0.0, 1.0}
