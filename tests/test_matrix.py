@@ -332,3 +332,19 @@ def test_ranks_tell_saturated_aucs_apart(spark):
     out = markers.score_markers(matrix(spark, x), groups(spark, ["a"] * (N // 2) + ["b"] * (N - N // 2))).toPandas()
     got = {(r.group, r.feature): r.rank_auc for r in out.itertuples()}
     assert all(got["a", i] == G - i and got["b", i] == i + 1 for i in range(G)) and set(out["mean_auc"].round(12)) == {0.0, 1.0}
+
+
+def test_exact_aucs_with_a_fold_change_by_columns(spark, monkeypatch):
+    for fill, lfc in ((0.0, 1.0), (1.0, -2.0), (0.0, 0.5)):
+        x = dense(8, fill)
+        labels = ["a"] * 9 + ["b"] * 11 + ["c"] * 10
+        m, g = matrix(spark, x, fill), groups(spark, labels)
+        out = markers.exact_auc(m, g, lfc=lfc)
+        assert "explode" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "other" not in plan  # cells are not dealt to pairs
+        by_columns = sorted(map(tuple, out.collect()))
+        for f, a, b, n1, n2, auc in by_columns:
+            u, v = (x[f, [j for j in range(N) if labels[j] == w]] for w in (a, b))
+            assert (n1, n2) == (len(u), len(v)) and np.isclose(auc, ((u[:, None] - lfc > v) + 0.5 * (u[:, None] - lfc == v)).mean())
+        with monkeypatch.context() as mp:
+            mp.setattr(markers, "MAX_COLUMNS", 0)
+            assert by_columns == sorted(map(tuple, markers.exact_auc(m, g, lfc=lfc).collect()))
