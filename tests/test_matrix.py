@@ -348,3 +348,18 @@ def test_exact_aucs_with_a_fold_change_by_columns(spark, monkeypatch):
         with monkeypatch.context() as mp:
             mp.setattr(markers, "MAX_COLUMNS", 0)
             assert by_columns == sorted(map(tuple, markers.exact_auc(m, g, lfc=lfc).collect()))
+
+
+def test_equal_tests_are_worked_out_once():
+    import pandas as pd
+
+    rng, seen = np.random.default_rng(9), []
+
+    def f(k, n, p):
+        seen.append(len(k))
+        return K.log_pbinom(k, n, p)
+
+    k, n, p = (rng.integers(0, 4, 5000), rng.integers(4, 7, 5000), rng.choice([0.25, 0.5], 5000))
+    got = K._series(f, pd.Series(k).astype("Int64").mask(k == 3), pd.Series(n), pd.Series(p))
+    assert seen == [3 * 3 * 2] and (got.isna() == (k == 3)).all()
+    assert np.allclose(got[k < 3].astype(float), K.log_pbinom(k, n, p)[k < 3], rtol=1e-13)
