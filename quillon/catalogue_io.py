@@ -30,7 +30,8 @@ def roundtrip_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sales(spark: SparkSession, d: str) -> SparseMatrix:
-    cells = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    lines = table(spark, d, "lineitem")
+    cells = files.dealt(lines.select("l_partkey", "l_suppkey", "l_quantity"), lines.count(), "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     return SparseMatrix.attach(cells, table(spark, d, "part").select("p_partkey", "p_brand"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "l_partkey", "l_suppkey", "q")
 
 
@@ -215,8 +216,11 @@ def container_subset(spark: SparkSession, d: str) -> DataFrame:
 
 def _supplier_graph(spark: SparkSession, d: str) -> Graph:
     """Suppliers that have sold the same part in the same order line number; nodes numbered by key."""
-    pairs = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s")).distinct()
-    edges = pairs.alias("a").join(pairs.alias("b"), "l_orderkey").where("a.s < b.s").groupBy((F.col("a.s") + 1).alias("from"), (F.col("b.s") + 1).alias("to")).agg(F.count("*").alias("orders"))
+    lines = table(spark, d, "lineitem")
+    n = lines.count()
+    pairs = files.dealt(lines.select("l_orderkey", F.col("l_suppkey").alias("s")), n, "l_orderkey").distinct()
+    met = pairs.alias("a").join(pairs.alias("b"), "l_orderkey").where("a.s < b.s").select((F.col("a.s") + 1).alias("from"), (F.col("b.s") + 1).alias("to"))
+    edges = files.dealt(met, 2 * n, "from", "to").groupBy("from", "to").agg(F.count("*").alias("orders"))  # few pairs meet twice in one part
     return Graph(edges, table(spark, d, "supplier").count())
 
 

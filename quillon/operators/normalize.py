@@ -34,7 +34,7 @@ def _scaled(m: SparseMatrix, factors: DataFrame) -> SparseMatrix:
         if not ends["n"] or ends["n"] < m.n_samples or ends["low"] <= 0 or ends["high"] - ends["low"] > 1e-12 * ends["high"]:
             raise ValueError("size factors that differ need a fill value of 0: other fill values would differ by sample")
         fill = m.fill / ends["low"]
-    cells = m.cells.join(factors, "sample").select("feature", "sample", F.try_divide(F.col("value").cast("double"), F.col("size_factor")).alias("value"))
+    cells = m.beside(factors).select("feature", "sample", F.try_divide(F.col("value").cast("double"), F.col("size_factor")).alias("value"))
     return SparseMatrix(cells, m.features, m.samples, fill)
 
 

@@ -363,3 +363,15 @@ def test_equal_tests_are_worked_out_once():
     got = K._series(f, pd.Series(k).astype("Int64").mask(k == 3), pd.Series(n), pd.Series(p))
     assert seen == [3 * 3 * 2] and (got.isna() == (k == 3)).all()
     assert np.allclose(got[k < 3].astype(float), K.log_pbinom(k, n, p)[k < 3], rtol=1e-13)
+
+
+def test_parts_grow_in_number_not_in_size(spark, monkeypatch):
+    from quillon import catalogue, catalogue_io
+    from quillon.sources import files
+    from tests.conftest import SF
+
+    monkeypatch.setattr(files, "PART", 500)
+    for df in (catalogue.sales(spark, SF).cells, catalogue_io._sales(spark, SF).cells, catalogue_io._supplier_graph(spark, SF).edges):
+        assert df.rdd.getNumPartitions() >= 12  # 6,000 lines
+    plan = moments.moments(catalogue.sales(spark, SF), catalogue.regions(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
